@@ -11,21 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import UNLABELLED
-from ..operators.clean import null_out_of_range
-from ..operators.impute import cap_outliers_iqr, impute_median
-from ..sources.items import NUMERIC_COLUMNS, item_view, with_items
+from .common import capped_items, items_sql
 from .registry import register
 
-ITEM_BOUNDS = {"poids": (0.0, 500.0), "volume": (0.0, None), "prix_revente": (0.0, 1000.0)}
-CAP_COLUMNS = ["poids", "volume", "prix_revente"]
-
-
-def cleaned_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Range-nulled, median-imputed, IQR-capped item table."""
-    items = null_out_of_range(item_view(spark, sf_dir), ITEM_BOUNDS)
-    items = impute_median(items, NUMERIC_COLUMNS)
-    return cap_outliers_iqr(items, CAP_COLUMNS, factor=3.0)
-
 
 def category_source_summary(df: DataFrame, digits: int = 6) -> DataFrame:
     g = (df.groupBy(F.coalesce("categorie", F.lit(UNLABELLED)).alias("categorie"), "source")
@@ -36,50 +24,16 @@ def category_source_summary(df: DataFrame, digits: int = 6) -> DataFrame:
     return g.withColumn("share", F.round(F.col("n_items") / F.sum("n_items").over(w), digits))
 
 
-CLEAN_SQL = """,
-clean AS (
-  SELECT item_id,
-    CASE WHEN poids > 0 AND poids <= 500 THEN poids END AS poids,
-    CASE WHEN volume > 0 THEN volume END AS volume,
-    conductivite, opacite, rigidite,
-    CASE WHEN prix_revente > 0 AND prix_revente <= 1000 THEN prix_revente END AS prix_revente,
-    categorie, source
-  FROM items),
-med AS (
-  SELECT quantile_cont(poids, 0.5) AS mp, quantile_cont(volume, 0.5) AS mv,
-         quantile_cont(conductivite, 0.5) AS mc, quantile_cont(opacite, 0.5) AS mo,
-         quantile_cont(rigidite, 0.5) AS mr, quantile_cont(prix_revente, 0.5) AS mx
-  FROM clean),
-imp AS (
-  SELECT item_id, coalesce(poids, mp) AS poids, coalesce(volume, mv) AS volume,
-         coalesce(conductivite, mc) AS conductivite, coalesce(opacite, mo) AS opacite,
-         coalesce(rigidite, mr) AS rigidite, coalesce(prix_revente, mx) AS prix_revente,
-         categorie, source
-  FROM clean, med),
-qb AS (
-  SELECT quantile_cont(poids, 0.25) AS p1, quantile_cont(poids, 0.75) AS p3,
-         quantile_cont(volume, 0.25) AS v1, quantile_cont(volume, 0.75) AS v3,
-         quantile_cont(prix_revente, 0.25) AS x1, quantile_cont(prix_revente, 0.75) AS x3
-  FROM imp),
-capped AS (
-  SELECT item_id,
-    least(greatest(poids, p1 - 3.0 * (p3 - p1)), p3 + 3.0 * (p3 - p1)) AS poids,
-    least(greatest(volume, v1 - 3.0 * (v3 - v1)), v3 + 3.0 * (v3 - v1)) AS volume,
-    conductivite, opacite, rigidite,
-    least(greatest(prix_revente, x1 - 3.0 * (x3 - x1)), x3 + 3.0 * (x3 - x1)) AS prix_revente,
-    categorie, source
-  FROM imp, qb)"""
-
-FLAGSHIP_SQL = with_items("""
+FLAGSHIP_SQL = items_sql("""
 SELECT coalesce(categorie, 'Non labellisé') AS categorie, source,
        count(*) AS n_items,
        round(avg(poids), 6) AS mean_poids,
        round(avg(prix_revente), 6) AS mean_prix,
        round(count(*) / sum(count(*)) OVER (PARTITION BY source), 6) AS share
 FROM capped
-GROUP BY 1, 2""", CLEAN_SQL)
+GROUP BY 1, 2""")
 
 
 @register("category_source_summary", FLAGSHIP_SQL)
 def q_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return category_source_summary(cleaned_items(spark, sf_dir))
+    return category_source_summary(capped_items(spark, sf_dir))
