@@ -69,3 +69,25 @@ def items_sql(sql: str, extra: str = "") -> str:
 
 def union_sql(parts: list[str]) -> str:
     return "\nUNION ALL\n".join(parts)
+
+
+def split_cte(src: str = "items", id_col: str = "item_id", label: str = "categorie",
+              name: str = "splits", seed: int = 42) -> str:
+    """CTE twin of ``stratified_split`` (70/15/15, round half up)."""
+    return f""",
+{name} AS (
+  SELECT {id_col}, {label},
+    CASE WHEN rn <= (7000 * n + 5000) // 10000 THEN 'train'
+         WHEN rn <= (8500 * n + 5000) // 10000 THEN 'val' ELSE 'test' END AS split
+  FROM (SELECT {id_col}, {label},
+          row_number() OVER (PARTITION BY {label} ORDER BY md5(CAST({id_col} AS VARCHAR) || '{seed}'), {id_col}) AS rn,
+          count(*) OVER (PARTITION BY {label}) AS n
+        FROM {src} WHERE {label} IS NOT NULL)
+  UNION ALL
+  SELECT {id_col}, {label}, 'unlabelled' AS split FROM {src} WHERE {label} IS NULL)"""
+
+
+def split_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capped items with a ``split`` column (stratified on ``categorie``)."""
+    from ..operators.split import stratified_split
+    return stratified_split(capped_items(spark, sf_dir), "item_id", "categorie", seed=42)
