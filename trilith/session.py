@@ -63,3 +63,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/tables/{name}"
+
+
+def materialize(df):
+    """Write ``df`` to the shared checkpoint folder and read it back
+    (reliable checkpoint: survives executor loss, cuts the lineage)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
