@@ -209,3 +209,18 @@ def log_factorial(n: Column) -> Column:
                 + 1 / (12 * x) - 1 / (360 * F.pow(x, 3)) + 1 / (1260 * F.pow(x, 5))
                 - 1 / (1680 * F.pow(x, 7)))
     return F.when(n < 20, F.when(n <= 1, F.lit(0.0)).otherwise(small)).otherwise(stirling)
+
+
+def fround(c: Column, digits: int) -> Column:
+    """Round half up on the binary value: floor(x * 10^d + 0.5) / 10^d.
+
+    Spark's ``round`` rounds the shortest decimal text half-up (36.285 ->
+    36.29 although the double is 36.28499...); this form rounds the value
+    actually stored, and its SQL twin ``sql_fround`` gives the same bits.
+    """
+    p = float(10 ** digits)
+    return F.floor(c * F.lit(p) + F.lit(0.5)) / F.lit(p)
+
+
+def sql_fround(expr: str, digits: int) -> str:
+    return f"(floor(({expr}) * {float(10 ** digits)!r} + 0.5) / {float(10 ** digits)!r})"

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.stats import fround
 from ..operators.evaluate import validate_requests
 from ..operators.score import batch_score
 
@@ -24,8 +25,8 @@ def prediction_log(df: DataFrame, ts: str, prediction: str = "prediction", confi
     prediction, confidence (4 decimals), price (2 decimals)."""
     rec = F.struct(F.date_format(F.col(ts), "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
                    F.col(prediction).alias("prediction"),
-                   F.round(F.col(confidence), 4).alias("confidence"),
-                   F.round(F.col(price), 2).alias("price"))
+                   fround(F.col(confidence), 4).alias("confidence"),
+                   fround(F.col(price), 2).alias("price"))
     return df.select(F.to_json(rec, {"ignoreNullFields": "false"}).alias(out))
 
 
