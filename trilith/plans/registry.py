@@ -30,4 +30,4 @@ def register(key: str, sql: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from . import (flagship, q_clean, q_cluster, q_encode, q_eval, q_impute, q_io,  # noqa: F401
-                   q_models, q_profile, q_quality, q_split, q_stream, q_text)
+                   q_composite, q_models, q_profile, q_quality, q_split, q_stream, q_text)
