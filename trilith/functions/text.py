@@ -67,11 +67,24 @@ def raw_words_col(c: Column) -> Column:
     return F.filter(F.split(F.coalesce(c, F.lit("")), WSRUN_RE), lambda w: w != "")
 
 
-def kept_tokens_col(cleaned: Column, stopwords: list[str], min_len: int = 3) -> Column:
-    """Words of at least ``min_len`` characters that are not stop-words."""
-    stop = F.array(*[F.lit(w) for w in stopwords]) if stopwords else F.array().cast("array<string>")
-    return F.filter(words_col(cleaned),
-                    lambda w: (F.char_length(w) >= min_len) & ~F.array_contains(stop, w))
+TOKEN_SPLIT_RE = rf"[^{KEEP_CHARS}]+"
+
+
+def text_words_col(c: Column) -> Column:
+    """Words of the cleaned text in one regex pass: maximal runs of kept
+    characters of the lower-cased text (same words as
+    ``words_col(clean_text_col(c))``)."""
+    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), TOKEN_SPLIT_RE), lambda w: w != "")
+
+
+def kept_tokens_col(cleaned: Column, stopwords: list[str], min_len: int = 3, raw: bool = False) -> Column:
+    """Words of at least ``min_len`` characters that are not stop-words
+    (``isin`` over many literals becomes a hash-set probe, ``InSet``).
+    With ``raw`` the input is the raw text (one-pass tokenisation)."""
+    words = text_words_col(cleaned) if raw else words_col(cleaned)
+    if not stopwords:
+        return F.filter(words, lambda w: F.char_length(w) >= min_len)
+    return F.filter(words, lambda w: (F.char_length(w) >= min_len) & ~w.isin(*stopwords))
 
 
 def ngrams_col(tokens: Column, ngram_range: tuple[int, int] = (1, 1)) -> Column:

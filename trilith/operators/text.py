@@ -26,13 +26,13 @@ def clean_text(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
 def tokenize_basic(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """Fallback tokenizer: clean, drop the 30 basic stop-words and words of
     two characters or fewer, rejoin with single spaces."""
-    toks = kept_tokens_col(clean_text_col(F.col(col)), BASIC_STOP, min_len=3)
+    toks = kept_tokens_col(F.col(col), BASIC_STOP, min_len=3, raw=True)
     return df.withColumn(out or col, F.array_join(toks, " "))
 
 
 def token_stats(df: DataFrame, col: str, top: int = 30) -> DataFrame:
     """Raw word count, kept-token count and the first ``top`` kept tokens."""
-    toks = kept_tokens_col(clean_text_col(F.col(col)), BASIC_STOP, min_len=3)
+    toks = kept_tokens_col(F.col(col), BASIC_STOP, min_len=3, raw=True)
     return df.select("*", F.size(raw_words_col(F.col(col))).alias("n_words"),
                      F.size(toks).alias("n_tokens"),
                      F.array_join(F.slice(toks, 1, top), " ").alias("first_tokens"))
@@ -42,7 +42,7 @@ def analyzer_tokens(df: DataFrame, col: str, stopwords: list[str] | None = None,
                     out: str = "tokens") -> DataFrame:
     """Vectoriser tokens: words of 2+ characters of the cleaned text (the
     2+ word-character token rule on text that holds only letters)."""
-    return df.withColumn(out, kept_tokens_col(clean_text_col(F.col(col)), stopwords or [], min_len=2))
+    return df.withColumn(out, kept_tokens_col(F.col(col), stopwords or [], min_len=2, raw=True))
 
 
 # ------------------------------------------------------------ lemmas
@@ -85,8 +85,11 @@ def normalize_text(df: DataFrame, id_col: str, col: str, lexicon: DataFrame | st
     ``lexicon`` is a (token, lemma) DataFrame, ``"plural"`` for the
     corpus-derived plural folding, or None for no lemma step.
     """
-    toks = df.withColumn("_tok", kept_tokens_col(clean_text_col(F.col(col)), training_stopwords(), 3))
+    toks = df.withColumn("_tok", kept_tokens_col(F.col(col), training_stopwords(), 3, raw=True))
     if isinstance(lexicon, str):
+        # the token table feeds both the lexicon and the lemma join: tokenise once
+        from ..session import materialize
+        toks = materialize(toks)
         lexicon = plural_lexicon(toks, "_tok")
     return lemmatize(toks, id_col, "_tok", lexicon, out).drop("_tok")
 

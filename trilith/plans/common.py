@@ -13,8 +13,15 @@ CAP_COLUMNS = ["poids", "volume", "prix_revente"]
 
 
 def clean_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Item view with physically impossible values set to NULL."""
-    return null_out_of_range(item_view(spark, sf_dir), ITEM_BOUNDS)
+    """Item view with physically impossible values set to NULL.
+
+    Written once to the shared checkpoint folder: every fit downstream
+    (medians, IQR bounds, split cut points) rescans it several times, and a
+    scan of the written table is far cheaper than re-running the
+    line-item aggregate and the four joins each time.
+    """
+    from ..session import materialize
+    return materialize(null_out_of_range(item_view(spark, sf_dir), ITEM_BOUNDS))
 
 
 def imputed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
