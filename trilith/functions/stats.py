@@ -224,3 +224,19 @@ def fround(c: Column, digits: int) -> Column:
 
 def sql_fround(expr: str, digits: int) -> str:
     return f"(floor(({expr}) * {float(10 ** digits)!r} + 0.5) / {float(10 ** digits)!r})"
+
+
+def exact_mean(c: Column, digits: int = 6) -> Column:
+    """Order-independent mean: values fixed-point at 10^-digits (half up),
+    summed as exact decimals, divided once.  The result does not depend on
+    partitioning or summation order (a float sum does, which flips the last
+    rounded digit when inputs have few decimals)."""
+    p = float(10 ** digits)
+    q = F.floor(c * F.lit(p) + F.lit(0.5)).cast("decimal(38,0)")
+    return F.sum(q).cast("double") / F.count(c).cast("double") / F.lit(p)
+
+
+def sql_exact_mean(expr: str, digits: int = 6) -> str:
+    p = f"CAST({10 ** digits} AS DOUBLE)"
+    return (f"(CAST(sum(CAST(floor(({expr}) * {p} + 0.5) AS DECIMAL(38,0))) AS DOUBLE) "
+            f"/ CAST(count({expr}) AS DOUBLE) / {p})")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import UNLABELLED
+from ..functions.stats import exact_mean, fround, sql_exact_mean, sql_fround
 from .common import capped_items, items_sql
 from .registry import register
 
@@ -18,18 +19,18 @@ from .registry import register
 def category_source_summary(df: DataFrame, digits: int = 6) -> DataFrame:
     g = (df.groupBy(F.coalesce("categorie", F.lit(UNLABELLED)).alias("categorie"), "source")
          .agg(F.count(F.lit(1)).alias("n_items"),
-              F.round(F.avg("poids"), digits).alias("mean_poids"),
-              F.round(F.avg("prix_revente"), digits).alias("mean_prix")))
+              fround(exact_mean(F.col("poids")), digits).alias("mean_poids"),
+              fround(exact_mean(F.col("prix_revente")), digits).alias("mean_prix")))
     w = Window.partitionBy("source")
-    return g.withColumn("share", F.round(F.col("n_items") / F.sum("n_items").over(w), digits))
+    return g.withColumn("share", fround(F.col("n_items") / F.sum("n_items").over(w), digits))
 
 
-FLAGSHIP_SQL = items_sql("""
+FLAGSHIP_SQL = items_sql(f"""
 SELECT coalesce(categorie, 'Non labellisé') AS categorie, source,
        count(*) AS n_items,
-       round(avg(poids), 6) AS mean_poids,
-       round(avg(prix_revente), 6) AS mean_prix,
-       round(count(*) / sum(count(*)) OVER (PARTITION BY source), 6) AS share
+       {sql_fround(sql_exact_mean('poids'), 6)} AS mean_poids,
+       {sql_fround(sql_exact_mean('prix_revente'), 6)} AS mean_prix,
+       {sql_fround('count(*) / sum(count(*)) OVER (PARTITION BY source)', 6)} AS share
 FROM capped
 GROUP BY 1, 2""")
 
