@@ -21,9 +21,15 @@ from ..operators.score import batch_score
 
 def prediction_log(df: DataFrame, ts: str, prediction: str = "prediction", confidence: str = "confidence",
                    price: str = "price", out: str = "log") -> DataFrame:
-    """One JSON record per prediction: timestamp (UTC, second precision),
-    prediction, confidence (4 decimals), price (2 decimals)."""
-    rec = F.struct(F.date_format(F.col(ts), "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
+    """One JSON record per prediction: timestamp (UTC, second precision,
+    whatever the session time zone), prediction, confidence (4 decimals),
+    price (2 decimals)."""
+    if df.schema[ts].dataType.typeName() == "timestamp_ntz":
+        utc = F.col(ts)  # wall-clock value: rendering does not depend on the session zone
+    else:
+        tz = df.sparkSession.conf.get("spark.sql.session.timeZone", "UTC")
+        utc = F.convert_timezone(F.lit(tz), F.lit("UTC"), F.col(ts).cast("timestamp_ntz"))
+    rec = F.struct(F.date_format(utc, "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
                    F.col(prediction).alias("prediction"),
                    fround(F.col(confidence), 4).alias("confidence"),
                    fround(F.col(price), 2).alias("price"))
