@@ -95,8 +95,8 @@ def _scored_items(spark, sf_dir) -> DataFrame:
 
 
 @register("prediction_log", items_sql(f"""
-SELECT to_json(struct_pack("timestamp" := strftime(o.o_orderdate, '%Y-%m-%d %H:%M:%S'), prediction := prediction,
-                           confidence := {sql_fround('confidence', 4)}, price := {sql_fround('prix_revente', 2)})) AS log
+SELECT CAST(to_json(struct_pack("timestamp" := strftime(o.o_orderdate, '%Y-%m-%d %H:%M:%S'), prediction := prediction,
+                           confidence := {sql_fround('confidence', 4)}, price := {sql_fround('prix_revente', 2)})) AS VARCHAR) AS log
 FROM (SELECT item_id, prediction, round(CASE prediction {' '.join(f"WHEN '{k}' THEN p{i}" for i, k in enumerate(CATEGORIES))} END, 6) AS confidence
       FROM (SELECT *, {_argmax_sql(4)} AS prediction FROM rp)) s
 JOIN items i ON i.item_id = s.item_id JOIN orders o ON o.o_orderkey = s.item_id""", _rule_probs_cte()))
