@@ -78,3 +78,31 @@ def test_pca_explained_variance_sorted(spark):
     rows = entry.queries()["pca"](spark, SMALL).collect()
     r = {x["component"]: x["explained_variance_ratio"] for x in rows}
     assert 0 < r["pc2"] <= r["pc1"] <= 1
+
+
+def test_streaming_metrics_equal_batch(spark):
+    from trilith.plans.q_stream import _scored_items
+    from trilith.sources import io as IO
+    from trilith.streaming.scoring import prediction_metrics, stream_prediction_metrics
+    scored = _scored_items(spark, SMALL).select("item_id", "prediction", "confidence")
+    src = IO.fresh_path(spark, "scored-src")
+    scored.repartition(3).write.parquet(src)
+    live = stream_prediction_metrics(spark, src, scored.schema, "metrics_test").first()
+    batch = prediction_metrics(scored).first()
+    assert live["n_predictions"] == batch["n_predictions"]
+    assert live["mean_confidence"] == pytest.approx(batch["mean_confidence"], abs=1e-4)
+
+
+@pytest.mark.parametrize("key", ["category_source_summary", "stratified_split", "kfold_assign", "tfidf",
+                                 "boxplot_by", "adjusted_mutual_info"])
+def test_results_do_not_depend_on_shuffle_partitions(spark, key):
+    fn = entry.queries()[key]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        a = sorted(map(tuple, fn(spark, SMALL).collect()), key=str)
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        b = sorted(map(tuple, fn(spark, SMALL).collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert a == b
