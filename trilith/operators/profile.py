@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import UNLABELLED
-from ..functions.stats import exact_quantiles, guarded_corr
+from ..functions.stats import exact_mean, exact_quantiles, guarded_corr
 
 
 def _stack(cols_exprs: list[tuple[str, str]], names: tuple[str, ...]) -> str:
@@ -68,13 +68,15 @@ def null_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 def describe_numeric(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
     """count, mean, sample std, min, 25/50/75 % (linear), max per column.
 
-    Moments come from one aggregate pass; quartiles from the exact
-    distributed selection (a few more scans, no single-task gather).
+    Moments come from one aggregate pass (the mean from exact fixed-point
+    sums, so it does not depend on the merge order of partial aggregates);
+    quartiles from the exact distributed selection (a few more scans, no
+    single-task gather).
     """
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"{c}__n"), F.avg(x).alias(f"{c}__mean"),
+        aggs += [F.count(x).alias(f"{c}__n"), exact_mean(x, digits).alias(f"{c}__mean"),
                  F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
                  F.max(x).alias(f"{c}__max")]
     moments = df.agg(*aggs).first()
@@ -84,9 +86,15 @@ def describe_numeric(df: DataFrame, cols: list[str], digits: int = 6) -> DataFra
     def r(v):
         return None if v is None or (isinstance(v, float) and math.isnan(v)) else round(float(v), digits)
 
+    def half_up(v):  # binary half-up, the same operations as the SQL twin
+        if v is None or (isinstance(v, float) and math.isnan(v)):
+            return None
+        p = float(10 ** digits)
+        return math.floor(float(v) * p + 0.5) / p
+
     for c in cols:
         q = qs[(c, None)]
-        rows.append((c, int(moments[f"{c}__n"]), r(moments[f"{c}__mean"]), r(moments[f"{c}__std"]),
+        rows.append((c, int(moments[f"{c}__n"]), half_up(moments[f"{c}__mean"]), r(moments[f"{c}__std"]),
                      r(moments[f"{c}__min"]), r(q[0.25]), r(q[0.5]), r(q[0.75]),
                      r(moments[f"{c}__max"])))
     return df.sparkSession.createDataFrame(
@@ -186,7 +194,6 @@ def boxplot_by(df: DataFrame, col: str, by: str, factor: float = 1.5, digits: in
              .withColumn("lo_fence", F.col("q1") - factor * F.col("iqr")) \
              .withColumn("hi_fence", F.col("q3") + factor * F.col("iqr"))
     x = F.col(col).cast("double")
-    inside = (x >= F.col("lo_fence")) & (x <= F.col("hi_fence"))
     stats = (src.select(F.col(by).cast("string").alias(by), x.alias("_x"))
              .join(box, by)
              .groupBy(by, "q1", "median", "q3", "iqr")
@@ -194,7 +201,6 @@ def boxplot_by(df: DataFrame, col: str, by: str, factor: float = 1.5, digits: in
                   F.min(F.when((F.col("_x") >= F.col("lo_fence")) & (F.col("_x") <= F.col("hi_fence")), F.col("_x"))).alias("whisker_lo"),
                   F.max(F.when((F.col("_x") >= F.col("lo_fence")) & (F.col("_x") <= F.col("hi_fence")), F.col("_x"))).alias("whisker_hi"),
                   F.count_if((F.col("_x") < F.col("lo_fence")) | (F.col("_x") > F.col("hi_fence"))).alias("n_outliers")))
-    del inside
     return stats.select(by, "n", *[F.round(c, digits).alias(c) for c in
                                    ("q1", "median", "q3", "iqr", "whisker_lo", "whisker_hi")],
                         "n_outliers")

@@ -12,7 +12,6 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import training_stopwords
 from ..operators import models as M
 from ..operators import text as T
 from ..operators.encode import apply_label, apply_ordinal, apply_scaler, fit_categories, fit_scaler

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.stats import sql_guarded_corr
+from ..functions.stats import sql_exact_mean, sql_fround, sql_guarded_corr
 from ..operators import profile as P
 from ..sources.items import ITEM_COLUMNS, NUMERIC_COLUMNS, item_view
 from ..sources.tables import read_table
@@ -32,7 +32,7 @@ def _describe_sql(src: str, exprs: dict[str, str]) -> str:
     parts = []
     for name, e in exprs.items():
         parts.append(
-            f"SELECT '{name}' AS column_name, count({e}) AS count, round(avg({e}), 6) AS mean, "
+            f"SELECT '{name}' AS column_name, count({e}) AS count, {sql_fround(sql_exact_mean(e), 6)} AS mean, "
             f"round(stddev_samp({e}), 6) AS std, round(min({e}), 6) AS min, "
             f"round(quantile_cont({e}, 0.25), 6) AS p25, round(quantile_cont({e}, 0.5), 6) AS p50, "
             f"round(quantile_cont({e}, 0.75), 6) AS p75, round(max({e}), 6) AS max FROM {src}")

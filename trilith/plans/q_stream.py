@@ -16,11 +16,11 @@ from ..sources import io as IO
 from ..sources.items import MEASURE_COLUMNS, NUMERIC_COLUMNS, item_view
 from ..sources.tables import read_table
 from ..streaming.scoring import prediction_log, prediction_metrics, stream_score
-from .common import ITEM_BOUNDS, clean_items, items_sql
-from .registry import register
-from .q_eval import REQ, _rule_probs_cte, _argmax_sql
 from ..functions.constants import CATEGORIES
 from ..functions.stats import sql_fround
+from .common import clean_items, items_sql
+from .q_eval import REQ, _argmax_sql, _rule_probs_cte
+from .registry import register
 
 REQUEST_COLS = MEASURE_COLUMNS + ["source"]
 
@@ -111,5 +111,3 @@ FROM (SELECT round(CASE prediction {' '.join(f"WHEN '{k}' THEN p{i}" for i, k in
 def q_prediction_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prediction_metrics(_scored_items(spark, sf_dir))
 
-
-_ = ITEM_BOUNDS
