@@ -96,19 +96,28 @@ def hash_split(df: DataFrame, id_col: str, fracs: tuple[float, ...] = (0.70, 0.1
     return df.withColumn(out, expr.otherwise(F.lit(names[-1])))
 
 
+BLOCK_ROWS = 2_000_000
+BROADCAST_OFFSETS = 200_000
+
+
 def hashed_rank(df: DataFrame, id_col: str, label: str | None, seed: int = 42,
                 blocks: int | None = None, out: str = "_rank") -> DataFrame:
     """Exact 1-based rank of every row within its label by (md5(id||seed), id).
 
-    See the module notes: equal-width hash blocks bound each window task;
-    block offsets come from a (labels x blocks) count table, broadcast --
-    its size is bounded by the number of labels times ``blocks``.
+    See the module notes: equal-width hash blocks bound each window task to
+    about ``BLOCK_ROWS`` rows (the block count follows the largest label);
+    block offsets come from a (labels x blocks) count table, broadcast only
+    when that table is provably small, else joined on (label, block).
     """
     spark = df.sparkSession
+    grp = F.col(label) if label else F.lit(0)
+    n_labels = 1
     if blocks is None:
-        blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        sizes = df.groupBy(grp.alias("_g")).agg(F.count(F.lit(1)).alias("n")).collect()
+        n_labels = max(1, len(sizes))
+        biggest = max((r["n"] for r in sizes), default=0)
+        blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-biggest // BLOCK_ROWS))
     md5 = seeded_md5(id_col, seed)
-    grp = F.col(label) if label else F.lit(0)
     keyed = (df.withColumn("_md5", md5).withColumn("_h", _h52(F.col("_md5")))
              .withColumn("_g", grp)
              .withColumn("_blk", F.floor(F.col("_h") * blocks / float(16 ** HASH_DIGITS)).cast("int")))
@@ -117,7 +126,8 @@ def hashed_rank(df: DataFrame, id_col: str, label: str | None, seed: int = 42,
     offsets = counts.select("_g", "_blk", (F.sum("_n").over(wo) - F.col("_n")).alias("_off"))
     w = Window.partitionBy("_g", "_blk").orderBy("_h", "_md5", id_col)
     ranked = keyed.withColumn("_local", F.row_number().over(w))
-    return (ranked.join(F.broadcast(offsets), ["_g", "_blk"], "left")
+    small = n_labels * blocks <= BROADCAST_OFFSETS
+    return (ranked.join(F.broadcast(offsets) if small else offsets, ["_g", "_blk"], "left")
             .withColumn(out, (F.col("_off") + F.col("_local")).cast("long"))
             .drop("_md5", "_h", "_g", "_blk", "_local", "_off"))
 
