@@ -277,3 +277,11 @@ def test_iterative_imputer_fills_everything_and_keeps_observed(spark):
             assert o["a"] == r[1]
         else:
             assert abs(o["a"] - r[2] / 2) < 0.5
+
+
+def test_exact_ranks_do_not_depend_on_block_count(spark):
+    from trilith.operators.split import hashed_rank
+    df = spark.range(5000).withColumn("lab", (F.col("id") % 3).cast("string"))
+    a = {r["id"]: r["_rank"] for r in hashed_rank(df, "id", "lab", blocks=5000).collect()}
+    b = {r["id"]: r["_rank"] for r in hashed_rank(df, "id", "lab", blocks=2).collect()}
+    assert a == b

@@ -329,7 +329,8 @@ def little_mcar(df: DataFrame, cols: list[str], alpha: float = 0.05) -> DataFram
             continue
         diff = np.array([row[f"m{i}"] - mean[i] for i in obs])
         sub = cov[np.ix_(obs, obs)]
-        d2 += row["n"] * float(diff @ np.linalg.solve(sub, diff))
+        # pseudo-inverse: a singular sub-covariance (collinear columns) must not abort the test
+        d2 += row["n"] * float(diff @ np.linalg.pinv(sub) @ diff)
     dof = observed_total - p
     pval = _chi2_sf(d2, dof) if dof > 0 else float("nan")
     verdict = "MCAR rejected" if pval < alpha else "compatible with MCAR"

@@ -120,7 +120,10 @@ def hashed_rank(df: DataFrame, id_col: str, label: str | None, seed: int = 42,
     md5 = seeded_md5(id_col, seed)
     keyed = (df.withColumn("_md5", md5).withColumn("_h", _h52(F.col("_md5")))
              .withColumn("_g", grp)
-             .withColumn("_blk", F.floor(F.col("_h") * blocks / float(16 ** HASH_DIGITS)).cast("int")))
+             # in double: a long product 2^52 x blocks would overflow (ANSI error) on big clusters;
+             # the double form is monotone in h, which is all the block order needs
+             .withColumn("_blk", F.least(F.floor(F.col("_h").cast("double") * F.lit(float(blocks))
+                                                 / F.lit(float(16 ** HASH_DIGITS))), F.lit(blocks - 1)).cast("int")))
     counts = keyed.groupBy("_g", "_blk").agg(F.count(F.lit(1)).alias("_n"))
     wo = Window.partitionBy("_g").orderBy("_blk")
     offsets = counts.select("_g", "_blk", (F.sum("_n").over(wo) - F.col("_n")).alias("_off"))
