@@ -53,14 +53,17 @@ def stream_score(spark: SparkSession, src: str, schema: StructType, clf: Pipelin
     checked = validate_requests(stream, bounds)
 
     def per_batch(batch: DataFrame, epoch: int) -> None:
+        # one folder per micro-batch, overwritten: a batch replayed after a failure
+        # replaces its own output instead of appending duplicates (exactly-once effect)
         ok = batch.where("is_valid").drop("is_valid", "reasons")
-        batch_score(ok, clf, labels, reg, keep).drop("probabilities").write.mode("append").parquet(sink)
-        batch.where(~F.col("is_valid")).write.mode("append").parquet(sink + "_rejected")
+        batch_score(ok, clf, labels, reg, keep).drop("probabilities") \
+            .write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
+        batch.where(~F.col("is_valid")).write.mode("overwrite").parquet(f"{sink}_rejected/epoch={epoch}")
 
     q = (checked.writeStream.foreachBatch(per_batch)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(sink)
+    return spark.read.parquet(sink).drop("epoch")
 
 
 def stream_prediction_metrics(spark: SparkSession, src: str, schema: StructType, name: str,
