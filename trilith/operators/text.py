@@ -192,7 +192,12 @@ def mean_pool(df: DataFrame, id_col: str, tokens: str, vectors: DataFrame, dim:
     words are dropped by the inner join and do not count in the mean.
     """
     occ = df.select(id_col, F.explode(tokens).alias(word))
-    hit = occ.join(vectors.select(word, vec), word)
+    vt = vectors.select(word, vec)
+    # one row per vocabulary word: broadcast after a row-count check, so the join is map-side
+    # and each task pre-aggregates its documents before the only shuffle
+    if vt.count() <= BROADCAST_ROWS // 4:
+        vt = F.broadcast(vt)
+    hit = occ.join(vt, word)
     agg = hit.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"),
                                   *[F.sum(F.col(vec)[d]).alias(f"_s{d}") for d in range(dim)])
     return (df.select(id_col).join(agg, id_col, "left")
