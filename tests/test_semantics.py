@@ -285,3 +285,16 @@ def test_exact_ranks_do_not_depend_on_block_count(spark):
     a = {r["id"]: r["_rank"] for r in hashed_rank(df, "id", "lab", blocks=5000).collect()}
     b = {r["id"]: r["_rank"] for r in hashed_rank(df, "id", "lab", blocks=2).collect()}
     assert a == b
+
+
+def test_grouped_quantiles_with_many_groups(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"g{int(g)}", float(v)) for g, v in zip(rng.integers(0, 300, 30000), rng.normal(size=30000))]
+    df = spark.createDataFrame(rows, "g string, x double")
+    import trilith.functions.stats as st
+    got = st.exact_quantiles(df, ["x"], [0.25, 0.5], by="g")
+    pdf = pd.DataFrame(rows, columns=["g", "x"])
+    for (c, g), q in got.items():
+        vals = pdf.loc[pdf.g == g, "x"].to_numpy()
+        for p, v in q.items():
+            assert v == pytest.approx(np.percentile(vals, p * 100), rel=1e-12, abs=1e-12)

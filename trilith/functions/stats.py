@@ -21,6 +21,7 @@ from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKETS = 4096
 COLLECT_MAX = 20000
@@ -32,6 +33,10 @@ def nan_to_null(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+CASE_SEGMENTS = 64
+BROADCAST_SEGMENTS = 100_000
+
+
 def _segment_expr(segments: list[tuple[int, object, float, float]]) -> Column:
     expr = None
     for sid, g, lo, hi in segments:
@@ -40,6 +45,32 @@ def _segment_expr(segments: list[tuple[int, object, float, float]]) -> Column:
     return expr
 
 
+def _with_segments(base: DataFrame, segments: list[tuple[int, object, float, float]]) -> DataFrame:
+    """Rows of active segments with ``_s`` (segment id), ``_lo`` and ``_w``.
+
+    Few segments: literal CASE expressions.  Many (many groups): a segment
+    table joined on the group key with a range filter -- segments of one
+    group are disjoint, so each row matches at most one; the table is
+    broadcast only up to ``BROADCAST_SEGMENTS`` rows.
+    """
+    if len(segments) <= CASE_SEGMENTS:
+        lo, w = F.lit(None).cast("double"), F.lit(None).cast("double")
+        for sid, g, slo, shi in segments:
+            lo = F.when(F.col("_s") == sid, F.lit(slo)).otherwise(lo)
+            w = F.when(F.col("_s") == sid, F.lit(shi - slo)).otherwise(w)
+        return (base.withColumn("_s", _segment_expr(segments)).where(F.col("_s").isNotNull())
+                .withColumn("_lo", lo).withColumn("_w", w))
+    gtype = base.schema["_g"].dataType
+    seg = base.sparkSession.createDataFrame(
+        [(sid, g, float(lo), float(hi)) for sid, g, lo, hi in segments],
+        T.StructType([T.StructField("_s", T.IntegerType()), T.StructField("_sg", gtype),
+                      T.StructField("_lo", T.DoubleType()), T.StructField("_hi", T.DoubleType())]))
+    if len(segments) <= BROADCAST_SEGMENTS:
+        seg = F.broadcast(seg)
+    j = base.join(seg, (F.col("_g") == F.col("_sg")) & (F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi")))
+    return j.withColumn("_w", F.col("_hi") - F.col("_lo")).drop("_sg", "_hi")
+
+
 def select_ranks(df: DataFrame, group: Column | None, value: Column,
                  ranks: dict, tie_cols: list[Column] | None = None,
                  stats: dict | None = None) -> dict:
@@ -85,7 +116,7 @@ def select_ranks(df: DataFrame, group: Column | None, value: Column,
                 del active[key]
         if fetch:
             segs = [(i, g, lo, hi) for i, (g, lo, hi) in enumerate(fetch)]
-            rows = (base.withColumn("_s", _segment_expr(segs)).where(F.col("_s").isNotNull())
+            rows = (_with_segments(base, segs)
                     .select("_s", "_x", *[f"_t{i}" for i in range(len(tie_cols))]).collect())
             by_seg = defaultdict(list)
             for row in rows:
@@ -102,14 +133,9 @@ def select_ranks(df: DataFrame, group: Column | None, value: Column,
         for key, (g, lo, hi, r, n) in active.items():
             seg_ids.setdefault((g, lo, hi), len(seg_ids))
         segs = [(i, g, lo, hi) for (g, lo, hi), i in seg_ids.items()]
-        seg_lo = F.lit(None).cast("double")
-        seg_w = F.lit(None).cast("double")
-        for i, g, lo, hi in segs:
-            seg_lo = F.when(F.col("_s") == i, F.lit(lo)).otherwise(seg_lo)
-            seg_w = F.when(F.col("_s") == i, F.lit(hi - lo)).otherwise(seg_w)
-        bucket = F.least(F.floor((F.col("_x") - seg_lo) / seg_w * BUCKETS),
+        bucket = F.least(F.floor((F.col("_x") - F.col("_lo")) / F.col("_w") * BUCKETS),
                          F.lit(BUCKETS - 1)).cast("int")
-        cells = (base.withColumn("_s", _segment_expr(segs)).where(F.col("_s").isNotNull())
+        cells = (_with_segments(base, segs)
                  .withColumn("_b", bucket)
                  .groupBy("_s", "_b")
                  .agg(F.count("*").alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi"))
