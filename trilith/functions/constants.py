@@ -23,6 +23,19 @@ KEEP_CHARS = "a-zàâäéèêëîïôùûüçœ"
 DOMAIN_STOPWORDS = ["déchet", "matériau", "collecte", "objet", "article",
                     "type", "matière", "élément", "produit", "item", "lot"]
 
+# FIXED VALUES -- Spark ML's default French stop list (public), in its own order.
+FRENCH_STOPWORDS = tuple("""
+au aux avec ce ces dans de des du elle en et eux il je la le les leur lui ma mais me même mes moi
+mon ne nos notre nous on ou par pas pour qu que qui sa se ses son sur ta te tes toi ton tu un une
+vos votre vous c d j l à m n s t y été étée étées étés étant étante étants étantes suis es est
+sommes êtes sont serai seras sera serons serez seront serais serait serions seriez seraient étais
+était étions étiez étaient fus fut fûmes fûtes furent sois soit soyons soyez soient fusse fusses fût
+fussions fussiez fussent ayant ayante ayantes ayants eu eue eues eus ai as avons avez ont aurai
+auras aura aurons aurez auront aurais aurait aurions auriez auraient avais avait avions aviez
+avaient eut eûmes eûtes eurent aie aies ait ayons ayez aient eusse eusses eût eussions eussiez
+eussent
+""".split())
+
 # FIXED VALUES -- basic stop list of the fallback tokenizer (30 words).
 BASIC_STOPWORDS = ["le", "la", "les", "de", "du", "des", "un", "une", "et",
                    "est", "en", "au", "aux", "ce", "se", "sa", "son", "ses",
@@ -61,11 +74,7 @@ TEXT_ONLY_DEFAULTS = {"Poids": 50.0, "Volume": 100.0, "Conductivite": 0.5,
 PROFILE_DIVISORS = {"Poids": 500.0, "Volume": 500.0, "Conductivite": 1.0,
                     "Opacite": 1.0, "Rigidite": 10.0}
 
-# FIXED VALUES -- rule scores (conductivity c, opacity o, rigidity r in [1,10]):
-#   Métal     = 0.6*c + 0.3*r/10 + 0.05
-#   Papier    = 0.4*(1-c) + 0.4*(1-r/10) + 0.1
-#   Plastique = 0.3*(1-c) + 0.4*o + 0.2
-#   Verre     = 0.5*(1-o) + 0.3*(1-c) + 0.1
+# FIXED VALUES -- rule scores (conductivity c, opacity o, rigidity r in [1,10]).
 RULE_WEIGHTS = {
     "Métal": {"c": 0.6, "r": 0.3, "const": 0.05},
     "Papier": {"1-c": 0.4, "1-r": 0.4, "const": 0.1},

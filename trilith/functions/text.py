@@ -6,15 +6,11 @@ that Java (Spark) and RE2 (DuckDB) agree character for character.
 
 from __future__ import annotations
 
-import functools
-import glob
-import os
-import zipfile
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .constants import BASIC_STOPWORDS, DOMAIN_STOPWORDS, KEEP_CHARS, SLUG_FOLD
+from .constants import (BASIC_STOPWORDS, DOMAIN_STOPWORDS, FRENCH_STOPWORDS, KEEP_CHARS,
+                        SLUG_FOLD)
 
 WS = r"\t\n\x0B\f\r "
 STRIP_RE = rf"^[{WS}]+|[{WS}]+$"
@@ -22,24 +18,10 @@ NONKEEP_RE = rf"[^{KEEP_CHARS}{WS}]"
 WSRUN_RE = rf"[{WS}]+"
 
 
-@functools.lru_cache(maxsize=None)
-def spark_stopwords(language: str = "french") -> tuple[str, ...]:
-    """Spark ML's default stop list for ``language``.
-
-    Read from the resource file shipped in the Spark ML jar, so no JVM is
-    needed and ``StopWordsRemover.loadDefaultStopWords`` gives the same list.
-    """
-    import pyspark
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    with zipfile.ZipFile(jars[0]) as z:
-        text = z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode("utf-8")
-    return tuple(w for w in text.split() if w)
-
-
 def training_stopwords() -> list[str]:
     """French stop list plus the domain words, in declaration order."""
     seen, out = set(), []
-    for w in list(spark_stopwords("french")) + DOMAIN_STOPWORDS:
+    for w in list(FRENCH_STOPWORDS) + DOMAIN_STOPWORDS:
         if w not in seen:
             seen.add(w)
             out.append(w)
