@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import chat, secrets, warc
+from . import bpe, chat, fingerprints, secrets, warc
 from .common import fresh_path
 
 QUERIES: dict = {}
@@ -21,11 +21,27 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def tokenizer_path() -> str:
+    """The public 50k byte-level BPE file; a parameter of the operator."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@register("op1_bpe")
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(read_table(spark, sf_dir, "documents"), tokenizer_path(), digests=True)
+
+
 @register("op2_secret_scans")
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(read_table(spark, sf_dir, "documents"))
 
 
+@register("op3_fingerprints")
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(read_table(spark, sf_dir, "documents"))
+
+
 # A conversation is rendered as it is unless parsing shows a conflict; the
 # SQL takes any text with a control string or a backslash for one.
 CHAT_SQL = r"""
