@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import bpe, chat, fingerprints, secrets, warc
+from . import bpe, chat, fingerprints, near_dups, secrets, warc
 from .common import fresh_path
 
 QUERIES: dict = {}
@@ -87,3 +87,9 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_warc(read_table(spark, sf_dir, "pages"), path)
     return warc.read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type",
                                               "refers_to", "payload_ok")
+
+
+@register("op10_near_dedup")
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(read_table(spark, sf_dir, "documents"), width=4, percent=80).select(
+        "doc_id", "n_shingles", "component_id", "kept", "class_id")
