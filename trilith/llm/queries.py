@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import bpe, chat, fingerprints, near_dups, secrets, warc
+from . import bpe, chat, fingerprints, near_dups, secrets, toxicity, warc
 from .common import fresh_path
 
 QUERIES: dict = {}
@@ -89,6 +89,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                                               "refers_to", "payload_ok")
 
 
+@register("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).select(
+        "doc_id", "held_out", "score", "predicted")
+
+
 @register("op10_near_dedup")
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(read_table(spark, sf_dir, "documents"), width=4, percent=80).select(
