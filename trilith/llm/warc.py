@@ -30,12 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import stored
+
 END = "\r\n\r\n"
 #: RFC 4648 digits in order, against those of a base-32 number.
 B32_FROM, B32_TO = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 START_RE = re.compile(rb"WARC/1\.[01]\r\n")
 LENGTH_RE = re.compile(rb"\r\nContent-Length: *(\d+)\r\n", re.I)
 MAX_HEADER = 1 << 16
+MAX_BROADCAST_ROWS = 200_000  # of 40 bytes each
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -50,8 +53,11 @@ def with_record_types(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, payload_digest, record_type, refers_to."""
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
     p = p.withColumn("payload_digest", base32_sha1(F.encode("payload", "UTF-8")))
-    shared = (p.groupBy("payload_digest").agg(F.count(F.lit(1)).alias("_n"), F.min("page_id").alias("_first"))
-              .where((F.col("_n") > 1) & F.col("_first").isNotNull()).select("payload_digest", "_first"))
+    shared = stored(p.groupBy("payload_digest").agg(F.count(F.lit(1)).alias("_n"), F.min("page_id").alias("_first"))
+                    .where((F.col("_n") > 1) & F.col("_first").isNotNull()).select("payload_digest", "_first"),
+                    "warc-shared")
+    if shared.count() <= MAX_BROADCAST_ROWS:  # else payloads are shuffled by digest
+        shared = F.broadcast(shared)
     revisit = F.col("_first").isNotNull() & ~F.col("_first").eqNullSafe(F.col("page_id"))
     return p.join(shared, "payload_digest", "left").select(
         "page_id", "url", "payload", "payload_digest",
