@@ -25,18 +25,23 @@ a text become their ids, as the tokenizer file says.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 from collections import deque
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 #: Fixed value: the public byte-level pre-split pattern.
 SPLIT_PATTERN = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHED_WORDS = 200_000
+CHARS = 4_000_000  # bytes of text whose words are encoded together
+LONG_WORD = 64  # bytes; longer words are read alone
 CACHED_ARCS = 2_000_000
 NEVER = 1 << 60
 
@@ -49,6 +54,60 @@ def byte_chars() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Table:
+    """Transitions met so far: integer keys to values >= 0, many looked up at
+    once (open addressing); missing ones are computed and kept."""
+
+    def __init__(self, compute, bits: int = 18):
+        self.compute = compute
+        self._empty(bits)
+
+    def _empty(self, bits: int) -> None:
+        self.shift, self.mask, self.filled = np.uint64(64 - bits), (1 << bits) - 1, 0
+        self.keys = np.full(1 << bits, -1, dtype=np.int64)
+        self.values = np.zeros(1 << bits, dtype=np.int32)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def _probe(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slots(keys)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.values[slot], -1)
+        left = np.flatnonzero((there != keys) & (there >= 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & self.mask
+            there = self.keys[slot[left]]
+            hit = there == keys[left]
+            out[left[hit]] = self.values[slot[left[hit]]]
+            left = left[~hit & (there >= 0)]
+        return out
+
+    def _insert(self, keys: np.ndarray, values: np.ndarray) -> None:
+        for k, slot, v in zip(keys.tolist(), self._slots(keys).tolist(), values.tolist()):
+            while self.keys[slot] >= 0:
+                slot = (slot + 1) & self.mask
+            self.keys[slot], self.values[slot] = k, v
+        self.filled += len(keys)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        out = self._probe(keys)
+        miss = out < 0
+        if miss.any():
+            new = np.unique(keys[miss])
+            values = np.array([self.compute(k) for k in new.tolist()], dtype=np.int32)
+            out[miss] = values[np.searchsorted(new, keys[miss])]
+            bits = (self.mask + 1).bit_length() - 1
+            if (self.filled + len(new)) * 3 > self.mask:
+                old, kept = self.keys[self.keys >= 0], self.values[self.keys >= 0]
+                grow = self.filled < CACHED_ARCS
+                self._empty(bits + 1 if grow else bits)
+                if grow:
+                    self._insert(old, kept)
+            self._insert(new, values)
+        return out
+
+
 class Automaton:
     def __init__(self, labels: dict[int, bytes], merges: list[tuple[bytes, bytes]], specials: dict[str, int]):
         self.labels, self.specials = labels, specials
@@ -154,42 +213,90 @@ def load_automaton(path: str) -> Automaton:
 
 
 class Codec:
-    """Encoder with a bounded table of words, and decoder."""
-
-    class _Words(dict):
-        def __init__(self, encode):
-            super().__init__()
-            self.encode = encode
-
-        def __missing__(self, word):
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            ids = self[word] = self.encode(word.encode("utf-8"))
-            return ids
+    """Encoder of many texts at once with a bounded table of words, and decoder."""
 
     def __init__(self, automaton: Automaton):
-        self.automaton = automaton
-        self.words = Codec._Words(automaton.encode_word)
+        self.automaton = a = automaton
+        self.words: dict[str, tuple[int, ...]] = {}
         self.split = regex.compile(SPLIT_PATTERN).findall
         self.cut = None
-        if automaton.specials:
-            some = sorted(automaton.specials, key=len, reverse=True)
+        if a.specials:
+            some = sorted(a.specials, key=len, reverse=True)
             self.cut = regex.compile("(" + "|".join(map(regex.escape, some)) + ")").split
-        self.labels = dict(automaton.labels)
-        self.labels.update({i: s.encode("utf-8") for s, i in automaton.specials.items()})
+        self.labels = dict(a.labels)
+        self.labels.update({i: s.encode("utf-8") for s, i in a.specials.items()})
         self.names = {i: str(i) for i in self.labels}
-
-    def _plain(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.words.__getitem__, self.split(text))))
+        self.ends, self.link, self.depth = (np.array(x, dtype=np.int64) for x in (a.ends, a.link, a.depth))
+        self.longest = np.where(self.ends >= 0, np.arange(len(self.ends)), self.link)
+        self.size = np.zeros(a.stride, dtype=np.int64)
+        for i, s in a.labels.items():
+            self.size[i] = len(s)
+        self.moves = Table(self._move)
+        self.arcs = Table(lambda k: int(a.follows(*divmod(k, a.stride))))
+
+    def _move(self, key: int) -> int:
+        a, (node, c) = self.automaton, divmod(key, 256)
+        while (nxt := a.goto.get(node << 8 | c)) is None:
+            node = a.fail[node]
+        return nxt
+
+    def encode_words(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """The labels of each word (at most LONG_WORD bytes): one step of all
+        words at a time, longest words first."""
+        size = np.array([len(w) for w in words])
+        order = np.argsort(-size, kind="stable")
+        width, n = int(size.max()), len(words)
+        chars = np.frombuffer(b"".join(words[i].ljust(width, b"\0") for i in order), dtype=np.uint8)
+        chars = chars.reshape(n, width).T.astype(np.int64)
+        active = np.searchsorted(-size[order], -np.arange(1, width + 1), side="right")
+        last = np.zeros((width + 1, n), dtype=np.int32)
+        node = np.zeros(n, dtype=np.int64)
+        for i in range(1, width + 1):
+            m = active[i - 1]
+            node = self.moves.get(node[:m] << 8 | chars[i - 1, :m]).astype(np.int64)
+            at, todo = self.longest[node], np.arange(m)
+            while len(todo):
+                label, start = self.ends[at], i - self.depth[at]
+                ok = start == 0
+                inner = np.flatnonzero(~ok)
+                arc = last[start[inner], todo[inner]].astype(np.int64) * self.automaton.stride + label[inner]
+                ok[inner] = self.arcs.get(arc) == 1
+                last[i, todo[ok]] = label[ok]
+                at, todo = self.link[at[~ok]], todo[~ok]
+        left, rows = size[order], np.arange(n)
+        steps = []
+        while len(rows):
+            label = last[left, rows]
+            steps.append((rows, label))
+            left = left - self.size[label]
+            rows, left = rows[left > 0], left[left > 0]
+        rows, labels = (np.concatenate(x[::-1]) for x in zip(*steps))
+        rows = order[rows]
+        flat = labels[np.argsort(rows, kind="stable")].tolist()
+        stops = np.cumsum(np.bincount(rows, minlength=n)).tolist()
+        return [tuple(flat[i:j]) for i, j in zip([0, *stops], stops)]
+
+    def _learn(self, words: set[str]) -> None:
+        new = words.difference(self.words)
+        if len(self.words) + len(new) > CACHED_WORDS:
+            self.words.clear()
+            new = words
+        raw = [(w, w.encode("utf-8")) for w in new]
+        short = [x for x in raw if len(x[1]) <= LONG_WORD]
+        if short:
+            self.words.update(zip([w for w, _ in short], self.encode_words([b for _, b in short])))
+        self.words.update((w, self.automaton.encode_word(b)) for w, b in raw if len(b) > LONG_WORD)
+
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        specials = self.automaton.specials
+        pieces = [self.cut(t) if any(s in t for s in specials) else [t] for t in texts]
+        split = [[[p] if p in specials else self.split(p) for p in ps] for ps in pieces]
+        self._learn(set(chain.from_iterable(chain.from_iterable(split))).difference(specials))
+        known = {**self.words, **{s: (i,) for s, i in specials.items()}} if any(len(p) > 1 for p in pieces) else self.words
+        return [list(chain.from_iterable(map(known.__getitem__, chain.from_iterable(ps)))) for ps in split]
 
     def encode(self, text: str) -> list[int]:
-        specials = self.automaton.specials
-        if not any(s in text for s in specials):
-            return self._plain(text)
-        ids = []
-        for piece in self.cut(text):
-            ids += [specials[piece]] if piece in specials else self._plain(piece)
-        return ids
+        return self.encode_batch([text])[0]
 
     def decode(self, ids) -> str:
         return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", errors="replace")
@@ -203,15 +310,27 @@ def task_codec(automaton: Automaton) -> Codec:
     automaton, and with it the tables filled by earlier tasks."""
     if not hasattr(automaton, "codec"):
         automaton.codec = Codec(automaton)
+        gc.freeze()  # the tables stay: keep the collector from walking them
     return automaton.codec
 
 
-def _digests(codec: Codec, text: str) -> tuple[int, str, str]:
-    ids = codec.encode(text)
+def _digests(codec: Codec, ids: list[int]) -> tuple[int, str, str]:
     return (len(ids), hashlib.sha256(codec.joined(ids).encode()).hexdigest(),
             hashlib.sha256(codec.decode(ids).encode("utf-8")).hexdigest())
 
 
+def _slices(batch):
+    """(ids, texts) of consecutive rows that hold CHARS characters or one row."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        before = sizes[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(sizes, before + CHARS, side="right")))
+        yield (batch.column("doc_id").slice(start, stop - start),
+               [t or "" for t in batch.column("text").slice(start, stop - start).to_pylist()])
+        start = stop
+
+
 def encode_documents(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
     """Encode and decode ``text``: doc_id, n_tokens with ids (array<int>) and
     decoded text, or with ``digests`` their SHA-256 instead.
@@ -226,18 +345,16 @@ def encode_documents(docs: DataFrame, path: str, digests: bool = False) -> DataF
     def run(batches):
         codec = task_codec(shared.value)
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id"), batch.column("text")
-            for start in range(0, batch.num_rows, 256):  # bounds what one output batch holds
-                part = [t.as_py() or "" for t in texts.slice(start, 256)]
+            for doc_ids, part in _slices(batch):
+                ids = codec.encode_batch(part)
                 if digests:
-                    cols = list(zip(*[_digests(codec, t) for t in part]))
+                    cols = list(zip(*[_digests(codec, x) for x in ids]))
                     types = [pa.int64(), pa.string(), pa.string()]
                 else:
-                    ids = [codec.encode(t) for t in part]
                     cols = [[len(x) for x in ids], ids, [codec.decode(x) for x in ids]]
                     types = [pa.int64(), pa.list_(pa.int32()), pa.string()]
                 yield pa.RecordBatch.from_arrays(
-                    [doc_ids.slice(start, 256).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(cols, types))],
+                    [doc_ids.cast(pa.int64()), *(pa.array(c, t) for c, t in zip(cols, types))],
                     names=[c.split()[0] for c in schema.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
