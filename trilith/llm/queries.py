@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import bpe, chat, fingerprints, html_extract, near_dups, secrets, toxicity, warc
+from . import bpe, chat, fingerprints, html_extract, mixing, near_dups, quality, secrets, toxicity, warc
 from .common import fresh_path
 
 QUERIES: dict = {}
@@ -70,6 +70,39 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.format_conversations(rows.unionByName(planted)))
 
 
+# The raking sweeps as a recursive query over the cells.
+MIX_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, coalesce(text, '') AS text,
+    CASE WHEN regexp_matches(text, '(?i)licen[cs]ed under|all rights reserved|copyright') THEN 'legal'
+         WHEN regexp_matches(text, '[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[a-z]{2,}') THEN 'contact'
+         WHEN regexp_matches(text, ' \| [^|\n]* \| ') THEN 'table'
+         WHEN regexp_matches(text, '[#*$%&]{3}|!!') THEN 'noise' ELSE 'prose' END AS topic,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens FROM documents),
+c AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL),
+t1 AS (SELECT source, pow(sum(tokens), 0.7) AS t FROM c GROUP BY 1),
+t2 AS (SELECT lang, pow(sum(tokens), 0.7) AS t FROM c GROUP BY 1),
+t3 AS (SELECT topic, pow(sum(tokens), 0.7) AS t FROM c GROUP BY 1),
+g AS (SELECT c.*, t1.t / (SELECT sum(t) FROM t1) AS a, t2.t / (SELECT sum(t) FROM t2) AS b,
+        t3.t / (SELECT sum(t) FROM t3) AS e FROM c JOIN t1 USING (source) JOIN t2 USING (lang) JOIN t3 USING (topic)),
+r AS (
+  SELECT 0 AS i, source, lang, topic, tokens, a, b, e, tokens AS w FROM g
+  UNION ALL
+  SELECT i + 1, source, lang, topic, tokens, a, b, e, w * e / sum(w) OVER (PARTITION BY topic) FROM (
+    SELECT * REPLACE (w * b / sum(w) OVER (PARTITION BY lang) AS w) FROM (
+      SELECT * REPLACE (w * a / sum(w) OVER (PARTITION BY source) AS w) FROM r)) WHERE i < 100),
+f AS (SELECT source, lang, topic, (w / tokens) / max(w / tokens) OVER () AS p FROM r WHERE i = 100)
+SELECT doc_id, source, lang, topic, n_tokens, round(p, 6) AS probability,
+  CAST(('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), chr(0)) || '|' || md5(text)), 1, 13)) AS BIGINT)
+    / 4503599627370496.0 < p AS sampled
+FROM d JOIN f USING (source, lang, topic)"""
+
+
+@register("op5_mixing", MIX_SQL)
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(read_table(spark, sf_dir, "documents"))
+
+
 @register("op6_warc", """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
 d AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_id,
@@ -89,6 +122,44 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                                               "refers_to", "payload_ok")
 
 
+# Windows and lines are compared as text, not as hashes.
+QUALITY_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source AS host, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)),
+                lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+s AS (SELECT text, any_value(w) AS w, any_value(l) AS l FROM d GROUP BY text),
+v AS (SELECT text, unnest(range(1, len(w) - 6)) AS i, w FROM s WHERE len(w) >= 8),
+x AS (SELECT text, i, array_to_string(w[i:i + 7], ' ') AS win FROM v),
+y AS (SELECT text, i FROM x QUALIFY count(*) OVER (PARTITION BY text, win) > 1),
+z AS (SELECT text, least(8, coalesce(lead(i) OVER (PARTITION BY text ORDER BY i) - i, 8)) AS k FROM y),
+rep AS (SELECT text, sum(k) AS n FROM z GROUP BY text),
+ln AS (SELECT host, text, lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) AS line,
+         len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words
+       FROM (SELECT host, text, unnest(any_value(l)) AS x FROM d GROUP BY host, text)),
+sizes AS (SELECT host, count(DISTINCT text) AS docs FROM d GROUP BY host),
+often AS (SELECT ln.host, line FROM ln JOIN sizes ON ln.host IS NOT DISTINCT FROM sizes.host GROUP BY ALL
+          HAVING count(DISTINCT text) > greatest(10, 0.1 * any_value(docs))),
+gone AS (SELECT ln.host, text, sum(words) AS n FROM ln
+         JOIN often o ON ln.host IS NOT DISTINCT FROM o.host AND ln.line = o.line GROUP BY ALL),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(d.text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(d.text) - length(translate(d.text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS removed_words
+  FROM d LEFT JOIN rep ON rep.text = d.text
+  LEFT JOIN gone ON gone.text = d.text AND gone.host IS NOT DISTINCT FROM d.host)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT (removed_words > 0
+    AND (n_words - removed_words < 20 OR n_words - removed_words < 0.3 * n_words)) AS kept FROM m"""
+
+
+@register("op7_quality_rules", QUALITY_SQL)
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(read_table(spark, sf_dir, "documents"))
+
+
 @register("op8_toxicity")
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).select(
