@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import stored, unit_hash
 from .quality import GAP
 
-ALPHA, TOLERANCE, ROUNDS = 0.7, 1e-9, 100
+ALPHA, TOLERANCE, ROUNDS = 0.85, 1e-9, 100
 DIMENSIONS = ("source", "lang", "topic")
 NONE = "(none)"
 #: Topic rules in order: name and pattern.

@@ -80,9 +80,9 @@ WITH RECURSIVE d AS (
          WHEN regexp_matches(text, '[#*$%&]{3}|!!') THEN 'noise' ELSE 'prose' END AS topic,
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens FROM documents),
 c AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL),
-t1 AS (SELECT source, pow(sum(tokens), 0.7) AS t FROM c GROUP BY 1),
-t2 AS (SELECT lang, pow(sum(tokens), 0.7) AS t FROM c GROUP BY 1),
-t3 AS (SELECT topic, pow(sum(tokens), 0.7) AS t FROM c GROUP BY 1),
+t1 AS (SELECT source, pow(sum(tokens), 0.85) AS t FROM c GROUP BY 1),
+t2 AS (SELECT lang, pow(sum(tokens), 0.85) AS t FROM c GROUP BY 1),
+t3 AS (SELECT topic, pow(sum(tokens), 0.85) AS t FROM c GROUP BY 1),
 g AS (SELECT c.*, t1.t / (SELECT sum(t) FROM t1) AS a, t2.t / (SELECT sum(t) FROM t2) AS b,
         t3.t / (SELECT sum(t) FROM t3) AS e FROM c JOIN t1 USING (source) JOIN t2 USING (lang) JOIN t3 USING (topic)),
 r AS (
