@@ -50,12 +50,14 @@ def topic(text: Column) -> Column:
     return out
 
 
-def with_cells(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_source``, ``_lang``, ``_topic`` and ``_tokens``."""
+def with_cells(docs: DataFrame, seed: str) -> DataFrame:
+    """Each row of ``docs`` as ``_row``, its cell, tokens and uniform number."""
     text = F.coalesce("text", F.lit(""))
-    return (docs.withColumn("_source", F.coalesce("source", F.lit(NONE)))
-            .withColumn("_lang", F.coalesce("lang", F.lit(NONE))).withColumn("_topic", topic(text))
-            .withColumn("_tokens", F.size(F.filter(F.split(text, GAP), lambda w: w != "")).cast("double")))
+    return docs.select(
+        F.struct("*").alias("_row"), F.coalesce("source", F.lit(NONE)).alias("source"),
+        F.coalesce("lang", F.lit(NONE)).alias("lang"), topic(text).alias("topic"),
+        F.size(F.filter(F.split(text, GAP), lambda w: w != "")).cast("double").alias("_tokens"),
+        unit_hash(F.col("doc_id"), F.md5(text), seed=seed).alias("_u"))
 
 
 def tempered(cells: DataFrame, dim: str, alpha: float) -> DataFrame:
@@ -93,31 +95,26 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
 
 def calibrated(docs: DataFrame, targets: dict[str, DataFrame] | None = None, alpha: float = ALPHA,
                seed: str = "mix") -> DataFrame:
-    """``docs`` with ``_source``, ``_lang``, ``_topic``, ``_tokens``,
-    ``_weight`` (raked share of the cell), ``_probability`` and ``_sampled``."""
-    marked = with_cells(docs)
-    keys = ["_" + d for d in DIMENSIONS]
-    cells = stored(marked.groupBy(*keys).agg(F.sum("_tokens").alias("tokens"))
-                   .select(*[F.col(k).alias(k[1:]) for k in keys], "tokens"), "cells")
+    """_row (the document), source, lang, topic, _tokens, weight (raked
+    share of the cell), probability and sampled."""
+    marked = with_cells(docs, seed)
+    cells = stored(marked.groupBy(*DIMENSIONS).agg(F.sum("_tokens").alias("tokens")), "cells")
     targets = {d: (targets or {}).get(d) or tempered(cells, d, alpha) for d in DIMENSIONS}
     cells = rake(cells, targets)
     rate = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
     top = cells.agg(F.max(rate).alias("top"))
     rates = cells.crossJoin(F.broadcast(top)).select(  # one row
-        *[F.col(k[1:]).alias(k) for k in keys], F.col("weight").alias("_weight"),
-        F.when(F.col("top") > 0, rate / F.col("top")).otherwise(0.0).alias("_probability"))
-    u = unit_hash(F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))), seed=seed)
-    return marked.join(rates, keys).withColumn("_sampled", u < F.col("_probability"))
+        *DIMENSIONS, "weight", F.when(F.col("top") > 0, rate / F.col("top")).otherwise(0.0).alias("probability"))
+    return marked.join(rates, [*DIMENSIONS]).withColumn("sampled", F.col("_u") < F.col("probability"))
 
 
 def mix_report(docs: DataFrame, **how) -> DataFrame:
     """One row per document with its cell, probability and decision."""
-    return calibrated(docs, **how).select(
-        "doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"),
-        F.col("_tokens").cast("long").alias("n_tokens"), F.round("_probability", 6).alias("probability"),
-        F.col("_sampled").alias("sampled"))
+    return calibrated(docs.select("doc_id", "source", "lang", "text"), **how).select(
+        "_row.doc_id", *DIMENSIONS, F.col("_tokens").cast("long").alias("n_tokens"),
+        F.round("probability", 6).alias("probability"), "sampled")
 
 
 def sample_documents(docs: DataFrame, **how) -> DataFrame:
-    """The sampled rows of ``docs`` with their own columns."""
-    return calibrated(docs, **how).where("_sampled").select(*docs.columns)
+    """The sampled rows of ``docs`` with their own columns, whatever their names."""
+    return calibrated(docs, **how).where("sampled").select("_row.*")

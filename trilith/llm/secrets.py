@@ -26,6 +26,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 KINDS = ("assign", "access", "hex", "pem", "key", "token")
@@ -202,15 +203,16 @@ def scan_documents(docs: DataFrame) -> DataFrame:
 
 
 def redact_documents(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
-    """``docs`` with secrets in ``text`` replaced and ``n_chars`` renewed;
-    a null text stays null.  Other columns are kept."""
-    fields = docs.schema
+    """``docs`` with secrets in ``text`` replaced and ``n_chars``, if there
+    is such a column, renewed; a null text stays null.  Other columns pass
+    through as they are."""
 
     def run(batches):
-        for pdf in batches:
-            pdf["text"] = [None if t is None else redact(t, mask) for t in pdf["text"]]
-            if "n_chars" in pdf:
-                pdf["n_chars"] = [None if t is None else len(t) for t in pdf["text"]]
-            yield pdf
-
-    return docs.mapInPandas(run, fields)
+        for batch in batches:
+            texts = [None if t is None else redact(t, mask) for t in batch.column("text").to_pylist()]
+            new = {"text": texts, "n_chars": [None if t is None else len(t) for t in texts]}
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(new[f.name], f.type) if f.name in new else batch.column(i)
+                 for i, f in enumerate(batch.schema)], schema=batch.schema)
+
+    return docs.mapInArrow(run, docs.schema)
