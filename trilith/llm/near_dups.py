@@ -9,9 +9,12 @@
 3. Classes that share a band key are candidates.  First each is compared
    with the smallest of its bucket only.  Links found make components.
 4. Then, in the buckets that still hold several components, pairs across
-   components are compared, crowded buckets in blocks of hashed members.  A
-   pair inside one component cannot change any component, so no link between
-   different components is left out.
+   components are compared in groups of at most two blocks of ``BLOCK``
+   hashed members.  A pair inside one component cannot change any component,
+   so no link between different components is left out.  A pair is looked at
+   in the first band it shares only; members without any near partner leave
+   before the sets are fetched, and a group passes on just the links that
+   join components.
 5. Before the exact check a pair's odd sketches are compared; the limit lets
    a pair at the threshold fail with probability below ``MISS``.  Links are
    confirmed on the full sets.
@@ -37,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import partitions, stored
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -46,7 +49,8 @@ HASHES = BANDS * ROWS
 BITS = 1024
 WORDS = BITS // 64
 MISS = 1e-9
-BLOCK = 1000  # members of a crowded bucket that meet in one group
+BLOCK = 512  # members of a crowded bucket in one block
+MAX_BROADCAST_ROWS = 2_000_000  # ids of 8 bytes each
 BATCH = 128  # texts hashed at once
 NO_ID = 1 << 62  # stand-ins of null ids start here
 
@@ -146,15 +150,23 @@ def _xor_count(a: str, b: str) -> Column:
     return total
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
-    pairs = stored(pairs.select("a", "b").distinct(), "near-pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+def _sets(nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(node, members): the shingle sets of the texts of ``nodes``."""
+    nodes = stored(nodes.distinct(), "near-nodes")
+    if nodes.count() <= MAX_BROADCAST_ROWS:  # else texts are shuffled by id
+        nodes = F.broadcast(nodes)
     node = F.coalesce(F.col("doc_id").cast("long"),
                       F.lit(NO_ID) + F.conv(F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, 15), 16, 10)
                       .cast("long"))
-    texts = docs.select(node.alias("node"), "text").join(wanted, "node", "left_semi").dropDuplicates()
-    sets = stored(texts.mapInArrow(lambda it: _set_batches(it, width), "node long, members array<long>"), "near-sets")
+    texts = docs.select(node.alias("node"), "text").join(nodes, "node", "left_semi")
+    sets = texts.mapInArrow(lambda it: _set_batches(it, width), "node long, members array<long>")
+    return stored(sets.dropDuplicates(), "near-sets")
+
+
+def _confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough."""
+    pairs = stored(pairs.select("a", "b").distinct(), "near-pairs")
+    sets = _sets(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))), docs, width)
     left = sets.select(F.col("node").alias("a"), F.col("members").alias("_sa"))
     right = sets.select(F.col("node").alias("b"), F.col("members").alias("_sb"))
     both = F.size(F.array_intersect("_sa", "_sb"))
@@ -163,6 +175,126 @@ def _confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
                   .select("a", "b").distinct(), "near-links")
 
 
+GROUP = ["band", "i", "j"]
+MEMBER = "band long, i int, j int, first boolean, node long, c long, n_shingles long, bands array<long>, " + ", ".join(
+    f"{c} long" for c in SKETCH)
+
+
+def _groups(batches):
+    """Whole groups of consecutive rows with equal (band, i, j)."""
+    held: list = []
+    key = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in GROUP])
+        edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        for lo, hi in zip([0, *edges], [*edges, batch.num_rows]):
+            own = tuple(keys[:, lo])
+            if key is not None and own != key:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            key = own
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _near_pairs(group: pa.Table, percent: int) -> list[tuple[int, np.ndarray]]:
+    """(row, later or other-side rows that may be linked to it) of a group."""
+    col = lambda c: group.column(c).to_numpy()
+    n, c, node, band = col("n_shingles"), col("c"), col("node"), col("band")[0]
+    odd = np.stack([col(x) for x in SKETCH], axis=1).view(np.uint64)
+    bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    same_block = col("i")[0] == col("j")[0]
+    first = np.flatnonzero(col("first"))
+    other = first if same_block else np.flatnonzero(~col("first"))
+    limit, out = xor_limit(percent), []
+    for r in first:
+        at = other[(c[other] != c[r]) & (100 * np.minimum(n[other], n[r]) >= percent * np.maximum(n[other], n[r]))]
+        if same_block:
+            at = at[node[at] > node[r]]
+        if len(at):
+            at = at[np.bitwise_count(odd[at] ^ odd[r]).sum(axis=1) <= limit]
+        if len(at):
+            shared = bands[at] == bands[r]
+            at = at[bands[r][shared.argmax(axis=1)] == band]
+        if len(at):
+            out.append((int(r), at))
+    return out
+
+
+def _active_batches(batches, percent: int):
+    """The members that have a near partner across components."""
+    for group in _groups(batches):
+        pairs = _near_pairs(group, percent)
+        if pairs:
+            rows = np.unique(np.concatenate([x for r, at in pairs for x in ([r], at)]))
+            yield from group.take(pa.array(rows)).to_batches()
+
+
+def _link_batches(batches, percent: int):
+    """Links (a, b) that join components, confirmed on the sets."""
+    for group in _groups(batches):
+        pairs = _near_pairs(group, percent)
+        if not pairs:
+            continue
+        members = group.column("members").combine_chunks()
+        ends, flat = members.offsets.to_numpy(), members.flatten().to_numpy()
+        sizes, values = np.diff(ends), flat[ends[0]:ends[-1]]
+        ends = ends - ends[0]
+        local = np.unique(values, return_inverse=True)[1]
+        mark = np.zeros(len(values) + 1, dtype=bool)
+        c, node = group.column("c").to_pylist(), group.column("node").to_pylist()
+        root = {x: x for x in c}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        found = []
+        for r, at in pairs:
+            own = local[ends[r]:ends[r + 1]]
+            mark[own] = True
+            for b in at:
+                if find(c[r]) == find(c[b]):
+                    continue
+                both = int(np.count_nonzero(mark[local[ends[b]:ends[b + 1]]]))
+                if 100 * both >= percent * (sizes[r] + sizes[b] - both):
+                    root[find(c[r])] = find(c[b])
+                    found.append((node[r], node[b]))
+            mark[own] = False
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
+
+
+def _across(shared: DataFrame, ones: DataFrame, first: DataFrame, docs: DataFrame, width: int,
+            percent: int) -> DataFrame:
+    """Links between different components of a bucket."""
+    placed = shared.join(first, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    mixed = (placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n"))
+             .where("lo <> hi").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    members = placed.join(mixed, "band").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    # member of block m meets the blocks from m on as the first, those up to m as the second
+    as_first = F.transform(F.sequence("block", F.col("blocks") - 1), lambda j: F.struct(
+        F.col("block").alias("i"), j.alias("j"), F.lit(True).alias("first")))
+    as_second = F.transform(F.filter(F.sequence(F.lit(0), F.col("block")), lambda i: i < F.col("block")),
+                            lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), F.lit(False).alias("first")))
+    dealt = (members.join(ones.select("node", "n_shingles", "bands", *SKETCH), "node")
+             .select("band", "node", "c", "n_shingles", "bands", *SKETCH, F.inline(F.concat(as_first, as_second))))
+    columns = [x.split()[0] for x in MEMBER.split(", ")]
+    n = partitions(docs.sparkSession)
+    grouped = lambda df: df.repartition(n, *GROUP).sortWithinPartitions(*GROUP)
+    active = stored(grouped(dealt.select(*columns)).mapInArrow(lambda it: _active_batches(it, percent), MEMBER),
+                    "near-active")
+    sets = _sets(active.select("node"), docs, width)
+    links = grouped(active.join(sets, "node").select(*columns, "members")).mapInArrow(
+        lambda it: _link_batches(it, percent), "a long, b long")
+    return stored(links.distinct(), "near-links")
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id, text_md5: one row
     per input row.  ``class_id`` is the smallest id with the same set."""
@@ -170,33 +302,24 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     limit = xor_limit(percent)
     filled = sig.where("n_shingles > 0")
     classes = stored(filled.groupBy("digest").agg(F.min("node").alias("class_id")), "near-classes")
-    ones = (filled.join(classes, (filled["digest"] == classes["digest"]) & (filled["node"] == classes["class_id"]),
-                        "left_semi").dropDuplicates(["node", "digest"]))
-    slots = stored(ones.select("node", F.explode("bands").alias("band"), *SKETCH), "near-slots")
+    key = (F.col("f.digest") == F.col("k.digest")) & (F.col("f.node") == F.col("k.class_id"))
+    ones = stored(filled.alias("f").join(classes.alias("k"), key, "left_semi").dropDuplicates(["digest", "node"])
+                  .select("node", "n_shingles", "bands", *SKETCH), "near-ones")
 
     # against the smallest of each bucket
-    firsts = slots.groupBy("band").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    near_first = (slots.select("band", F.col("node").alias("b")).join(firsts, "band").where("a <> b")
-                  .select("a", "b").distinct())
+    slots = ones.select("node", F.explode("bands").alias("band"))
+    firsts = (slots.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
+              .select("band", "a"))
+    shared = stored(slots.join(firsts, "band"), "near-shared")
     sketches = ones.select("node", *SKETCH)
-    stars = (near_first.join(sketches.alias("x"), F.col("a") == F.col("x.node"))
+    stars = (shared.where("a <> node").select("a", F.col("node").alias("b")).distinct()
+             .join(sketches.alias("x"), F.col("a") == F.col("x.node"))
              .join(sketches.alias("y"), F.col("b") == F.col("y.node")).where(_xor_count("x", "y") <= limit))
     links = _confirm(stars, docs, width, percent)
     first = stored(components(links), "near-first")
 
     # across the components that still meet in a bucket
-    placed = (slots.join(first, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"))
-    mixed = (placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n"))
-             .where("lo <> hi").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    members = stored(placed.join(mixed, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))
-                                                           .cast("int")), "near-members")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    x = members.withColumn("i", F.col("block")).withColumn("j", every).alias("x")
-    y = members.withColumn("j", F.col("block")).withColumn("i", every).alias("y")
-    across = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.i") == F.col("y.i"))
-                    & (F.col("x.j") == F.col("y.j")) & (F.col("x.node") < F.col("y.node"))
-                    & (F.col("x.c") != F.col("y.c")) & (_xor_count("x", "y") <= limit))
-    more = _confirm(across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), docs, width, percent)
+    more = _across(shared.select("band", "node"), ones, first, docs, width, percent)
     known = first.select(F.col("node").alias("a"), F.col("component").alias("ca"))
     other = first.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     bridges = more.join(known, "a", "left").join(other, "b", "left").select(
@@ -217,10 +340,11 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component, the smallest id; of
-    rows that repeat an id and its text one stays.  All columns are kept."""
+    rows that repeat an id and its text one stays.  All columns are kept,
+    whatever their names."""
     kept = (near_duplicates(docs, width, percent).where("kept")
             .select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5")).distinct())
-    keyed = docs.withColumn("_key", F.md5(F.coalesce("text", F.lit(""))))
-    return (keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-                       & (F.col("_key") == F.col("_md5")), "left_semi")
-            .dropDuplicates(["doc_id", "_key"]).drop("_key"))
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_own"),
+                       F.md5(F.coalesce("text", F.lit(""))).alias("_key"))
+    return (rows.join(kept, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_md5")), "left_semi")
+            .dropDuplicates(["_own", "_key"]).select("_row.*"))
