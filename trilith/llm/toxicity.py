@@ -24,6 +24,7 @@ out; without rows of both classes every score is 0; extra columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 import unicodedata
@@ -39,11 +40,11 @@ from pyspark.sql import functions as F
 SYMBOLS = 28  # 0 boundary, 1 to 26 letters, 27 any other letter
 ORDER = 4
 CELLS = SYMBOLS ** ORDER
-SAMPLE = 6000
+SAMPLE = 3000
 BUCKETS = 1 << 20
 LEVELS = 4
 PREFIXES = (3, 4, 5, 6, 7)
-CACHED_TOKENS = 100_000
+CACHED_TOKENS = 300_000
 THRESHOLD = 0.7
 
 #: What digits and signs stand for.
@@ -177,7 +178,13 @@ def viterbi(paths: list[list[tuple[str, float]]], model: CharModel) -> str:
 
 def restore(token: str, model: CharModel) -> str:
     """The restored, lower-cased spelling of one token."""
-    core = TAIL_RE.sub("", token.lower().strip(EDGE)).strip(EDGE)
+    core = token.lower()
+    if core[:-1].isalpha() and not RUN_RE.search(core):  # the common case: a word, perhaps with a full stop
+        if core.isalpha():
+            return core
+        if core[-1] in EDGE:
+            return core[:-1]
+    core = TAIL_RE.sub("", core.strip(EDGE)).strip(EDGE)
     if not core or core.isalpha() and not RUN_RE.search(core):
         return core
     if SPACED_RE.match(core):
@@ -187,9 +194,10 @@ def restore(token: str, model: CharModel) -> str:
     return core
 
 
-def restored_words(text: str, known: dict) -> set[str]:
-    """Distinct restored words.  Three or more single characters in a row
-    are decoded as one spaced-out stretch besides."""
+def restored_words(text: str, known: Tokens) -> set[str]:
+    """Distinct restored words that ``known`` returns for the tokens.  Three
+    or more single characters in a row are decoded as one spaced-out stretch
+    besides."""
     tokens = text.split()
     out = set().union(*map(known.__getitem__, set(tokens))) if tokens else set()
     single = [i for i, t in enumerate(tokens) if len(t) == 1]
@@ -200,7 +208,7 @@ def restored_words(text: str, known: dict) -> set[str]:
             j += 1
         if j - i >= 2:
             joined = " ".join(tokens[single[i]:single[j] + 1]).lower()
-            out.update(PART_RE.findall(viterbi(lattice(joined, spaced=True), known.model)))
+            out.update(known.chosen(PART_RE.findall(viterbi(lattice(joined, spaced=True), known.model))))
         i = j + 1
     return out
 
@@ -212,10 +220,13 @@ class Tokens(dict):
         super().__init__()
         self.model = model
 
+    def chosen(self, words):
+        return tuple(words)
+
     def __missing__(self, token):
         if len(self) >= CACHED_TOKENS:
             self.clear()
-        words = self[token] = tuple(PART_RE.findall(restore(token, self.model)))
+        words = self[token] = self.chosen(PART_RE.findall(restore(token, self.model)))
         return words
 
 
@@ -231,6 +242,30 @@ class Features(dict):
         return ids
 
 
+class Evidence(Tokens):
+    """token -> those of its restored words that have a weighted feature."""
+
+    def __init__(self, model: CharModel, weights: dict[int, float], bias: float):
+        super().__init__(model)
+        self.weights, self.bias = weights, bias
+        self.based = {k - k % LEVELS for k in weights}
+        self.table, self.hits = Features(), {}
+
+    def chosen(self, words):
+        out = []
+        for w in words:
+            found = tuple(k for k in self.table[w] if k in self.based)
+            if found:
+                self.hits[w] = found  # words of the vocabulary with weight: few
+                out.append(w)
+        return tuple(out)
+
+    def log_odds(self, text: str) -> float:
+        found = Counter(chain.from_iterable(map(self.hits.__getitem__, restored_words(text, self))))
+        return self.bias + sum(self.weights.get(k + i, 0.0) for k, n in sorted(found.items())
+                               for i in range(min(n, LEVELS)))
+
+
 def features(text: str, tokens: Tokens, table: Features) -> list[int]:
     """Hashed features of a text: level i of a feature is present when more
     than i of the text's distinct words have it."""
@@ -238,15 +273,15 @@ def features(text: str, tokens: Tokens, table: Features) -> list[int]:
     return sorted(k + i for k, n in found.items() for i in range(min(n, LEVELS)))
 
 
-def fit(rows: list[list[int]], y: np.ndarray, taken: np.ndarray, rounds: int = 400) -> tuple[dict[int, float], float]:
+def fit(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, taken: np.ndarray,
+        rounds: int = 400) -> tuple[dict[int, float], float]:
     """Logistic weights of the features whose frequency differs clearly
-    between the classes, and the intercept.  ``taken``: the share of the
+    between the classes, and the intercept.  ``flat`` holds the features of
+    all rows in turn, ``sizes`` how many each has; ``taken``: the share of the
     labelled rows of class 0 and 1 in the sample."""
     pos, neg = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    sizes = np.array([len(r) for r in rows])
-    flat = np.concatenate([np.asarray(r, dtype=np.int64) for r in rows]) if len(rows) else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(rows)), sizes)
-    p = np.bincount(flat, weights=y[row], minlength=BUCKETS)
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    p = np.bincount(flat[y[row] == 1], minlength=BUCKETS).astype(np.float64)
     n = np.bincount(flat, minlength=BUCKETS) - p
     a, b = p / pos, n / neg
     spread = np.sqrt((p + 1) / pos ** 2 + (n + 1) / neg ** 2)
@@ -303,31 +338,39 @@ def train(docs: DataFrame, labels: DataFrame, model: CharModel, sample: int = SA
                     names=["ids", "toxic", "doc_id"])
 
     rows = (texts.join(F.broadcast(picked), "doc_id").select("text", "toxic", "doc_id").dropDuplicates()
-            .mapInArrow(run, "ids array<int>, toxic int, doc_id long").toArrow())
+            .mapInArrow(run, "ids array<int>, toxic int, doc_id long").orderBy("doc_id", "toxic").toArrow())
     if not rows.num_rows:
         return None
-    rows = rows.sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    ids = rows.column("ids").combine_chunks()
+    sizes = np.diff(ids.offsets.to_numpy())
     y = rows.column("toxic").to_numpy().astype(np.float64)
-    return fit(rows.column("ids").to_pylist(), y, np.array([min(1.0, sample / total[k]) for k in (0, 1)]))
+    return fit(ids.flatten().to_numpy(), sizes, y, np.array([min(1.0, sample / total[k]) for k in (0, 1)]))
+
+
+def task_evidence(evidence: Evidence) -> Evidence:
+    """The broadcast object itself: a reused worker keeps it, and with it the
+    tokens seen in earlier tasks."""
+    if not hasattr(evidence, "frozen"):
+        evidence.frozen = True
+        gc.freeze()
+    return evidence
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE,
                     threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted, text_md5: one row per input row."""
     model = language_model(docs)
-    fitted = train(docs, labels, model, sample)
-    shared = docs.sparkSession.sparkContext.broadcast((model, fitted))
+    weights, bias = train(docs, labels, model, sample) or ({}, -1e9)
+    shared = docs.sparkSession.sparkContext.broadcast(Evidence(model, weights, bias))
     schema = "doc_id long, score double, text_md5 string"
 
     def run(batches):
-        lm, known = shared.value
-        tokens, table = Tokens(lm), Features()
-        weights, bias = known or ({}, -1e9)
+        evidence = task_evidence(shared.value)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                z = [bias + sum(weights.get(i, 0.0) for i in features(t, tokens, table)) for t in texts]
+                z = [evidence.log_odds(t) for t in texts]
                 scores = 1 / (1 + np.exp(-np.clip(np.array(z), -700, 700)))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").cast(pa.int64()), pa.array(scores),
@@ -341,8 +384,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE,
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text is predicted toxic; all columns
-    are kept.  The decision is joined by the text's md5, so rows without id
-    are judged too."""
+    are kept, whatever their names.  The decision is joined by the text's
+    md5, so rows without id are judged too."""
     bad = score_documents(docs, labels).where("predicted = 1").select(F.col("text_md5").alias("_md5")).distinct()
-    return (docs.withColumn("_key", F.md5(F.coalesce("text", F.lit(""))))
-            .join(bad, F.col("_key") == F.col("_md5"), "left_anti").drop("_key"))
+    rows = docs.select(F.struct("*").alias("_row"), F.md5(F.coalesce("text", F.lit(""))).alias("_key"))
+    return rows.join(bad, F.col("_key") == F.col("_md5"), "left_anti").select("_row.*")
