@@ -24,6 +24,7 @@ def test_query_matches_oracle(spark, con, key):
     res = compare(spark, key, fn, ORACLES[key], SMALL, con)
     assert res["columns_match"], res
     assert res["match"], res
+    assert res["order_match"] and not res["type_diff"], res
 
 
 def test_every_oracle_has_a_query():

@@ -4,8 +4,9 @@
 for exact quantiles (medians, quartiles, IQR bounds, box plots) and for the
 cut points of quota-exact splits.  It never gathers a group into one task:
 every pass is a scan with a map-side partial aggregate over at most
-``buckets`` cells per active segment, and only segments already narrowed to
-at most ``collect_max`` rows (or to a single distinct value) are fetched.
+``buckets`` cells per active segment; a pass fetches the smallest segments up
+to ``FETCH_ROWS`` rows in all and narrows the others further.  With tie
+columns a range of one value is fetched as its distinct ties with counts.
 
 Each pass splits a value range [lo, hi] into ``buckets`` equal cells with the
 monotone expression ``floor((x - lo) / (hi - lo) * buckets)``; the cell that
@@ -16,6 +17,8 @@ A value repeated on a third of all rows ends the descent at once (min = max).
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 from collections import defaultdict
 
@@ -24,8 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BUCKETS = 4096
-COLLECT_MAX = 20000
-MAX_LEVELS = 12
+FETCH_ROWS = 20000  # all segments of a pass together
+MAX_LEVELS = 40
 
 
 def nan_to_null(c: Column) -> Column:
@@ -33,6 +36,12 @@ def nan_to_null(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def without_nan(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``df`` with NaN as NULL in those of ``cols`` that are float or double."""
+    kinds = dict(df.dtypes)
+    return df.withColumns({c: nan_to_null(F.col(c)) for c in cols if kinds.get(c) in ("float", "double")})
+
+
 CASE_SEGMENTS = 64
 BROADCAST_SEGMENTS = 100_000
 
@@ -106,25 +115,27 @@ def select_ranks(df: DataFrame, group: Column | None, value: Column,
 
     for _ in range(MAX_LEVELS):
         # resolve targets whose range is one value, or small enough to fetch
-        fetch = {}
-        for key, (g, lo, hi, r, n) in list(active.items()):
+        fetch, room = {}, FETCH_ROWS
+        for key, (g, lo, hi, r, n) in sorted(active.items(), key=lambda x: x[1][4]):
             if lo == hi and not tie_cols:
                 result[key] = lo
                 del active[key]
-            elif n <= COLLECT_MAX or lo == hi:
+            elif (g, lo, hi) in fetch or lo == hi or n <= room:
+                room -= 0 if (g, lo, hi) in fetch or lo == hi else n
                 fetch.setdefault((g, lo, hi), []).append((key, r))
                 del active[key]
         if fetch:
             segs = [(i, g, lo, hi) for i, (g, lo, hi) in enumerate(fetch)]
-            rows = (_with_segments(base, segs)
-                    .select("_s", "_x", *[f"_t{i}" for i in range(len(tie_cols))]).collect())
+            rows = (_with_segments(base, segs)  # distinct values with their counts
+                    .groupBy("_s", "_x", *[f"_t{i}" for i in range(len(tie_cols))]).count().collect())
             by_seg = defaultdict(list)
             for row in rows:
-                by_seg[row[0]].append(tuple(row[1:]))
+                by_seg[row[0]].append((tuple(row[1:-1]), row[-1]))
             for i, (g, lo, hi) in enumerate(fetch):
                 vals = sorted(by_seg[i])
+                upto = list(itertools.accumulate(n for _, n in vals))
                 for key, r in fetch[(g, lo, hi)]:
-                    v = vals[r - 1]
+                    v = vals[bisect.bisect_left(upto, r)][0]
                     result[key] = v if tie_cols else v[0]
         if not active:
             break

@@ -111,21 +111,16 @@ def regression_metrics(df: DataFrame, y_log: str, p_log: str, by: list[str] | No
                        digits: int = 6) -> DataFrame:
     """RMSE and MAE after expm1 (original scale), R2 on the log scale.
 
-    The total sum of squares is taken around the mean (found in a first
-    aggregate; per group it is a small table joined on the group keys), so
-    it does not suffer the cancellation of the one-pass moment formula.
+    The total sum of squares is the population variance times the count, one
+    aggregate whose merged moments do not cancel; no row is joined or moved
+    but for the partial aggregates.
     """
     by = by or []
     y, p = F.col(y_log), F.col(p_log)
     ey, ep = F.expm1(y), F.expm1(p)
-    if by:
-        src = df.join(df.groupBy(*by).agg(F.avg(y).alias("_m")), by)
-        m = F.col("_m")
-    else:
-        src, m = df, F.lit(df.agg(F.avg(y)).first()[0]).cast("double")
-    g = src.groupBy(*by).agg(
+    g = df.groupBy(*by).agg(
         F.sqrt(F.avg(F.pow(ey - ep, 2))).alias("rmse"), F.avg(F.abs(ey - ep)).alias("mae"),
-        F.sum(F.pow(y - p, 2)).alias("_sse"), F.sum(F.pow(y - m, 2)).alias("_sst"))
+        F.sum(F.pow(y - p, 2)).alias("_sse"), (F.var_pop(y) * F.count(y)).alias("_sst"))
     r2 = F.lit(1.0) - F.try_divide(F.col("_sse"), F.col("_sst"))
     return g.select(*by, F.round("rmse", digits).alias("rmse"), F.round("mae", digits).alias("mae"),
                     F.round(r2, digits).alias("r2_log"))
@@ -167,7 +162,7 @@ def score_delta(results: DataFrame, name: str, baseline: str, metric: str,
     else:
         b = base.first()
         j = results.withColumn("_base", F.lit(b["_base"] if b else None).cast("double"))
-    return j.withColumn("delta", F.round(F.col(metric) - F.col("_base"), digits)).drop("_base")
+    return j.select(*results.columns, F.round(F.col(metric) - F.col("_base"), digits).alias("delta"))
 
 
 # ------------------------------------------------------------ requests and rules

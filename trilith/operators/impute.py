@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import exact_quantiles
+from ..functions.stats import exact_quantiles, without_nan
 
 
 # ---------------------------------------------------------------- median
@@ -23,7 +23,7 @@ def fit_median(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
 
 
 def apply_fill(df: DataFrame, values: dict[str, float | None]) -> DataFrame:
-    out = df
+    out = without_nan(df, list(values))
     for c, v in values.items():
         if v is not None:
             out = out.withColumn(c, F.coalesce(F.col(c), F.lit(float(v))))
@@ -31,12 +31,12 @@ def apply_fill(df: DataFrame, values: dict[str, float | None]) -> DataFrame:
 
 
 def impute_median(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None) -> DataFrame:
-    """NULL -> exact column median (fitted on ``fit_on``, default ``df``)."""
+    """NULL or NaN -> exact column median (fitted on ``fit_on``, default ``df``)."""
     return apply_fill(df, fit_median(fit_on if fit_on is not None else df, cols))
 
 
 def fit_mean(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
-    r = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols]).first()
+    r = without_nan(df, cols).agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols]).first()
     return {c: r[c] for c in cols}
 
 

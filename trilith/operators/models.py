@@ -17,8 +17,10 @@ Parameter mapping (reference objective -> Spark ML):
 
 from __future__ import annotations
 
+import functools
 import math
 import random
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
@@ -28,7 +30,6 @@ from pyspark.ml.evaluation import Evaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -184,8 +185,8 @@ class MacroF1Evaluator(Evaluator):
         self.label, self.prediction = label, prediction
 
     def _evaluate(self, dataset: DataFrame) -> float:
-        r = f1_macro(dataset.select(F.col(self.label).cast("string").alias("y"),
-                                    F.col(self.prediction).cast("int").cast("string").alias("p")),
+        r = f1_macro(dataset.select(F.col(self.label).cast("double").cast("string").alias("y"),
+                                    F.col(self.prediction).cast("double").cast("string").alias("p")),
                      "y", "p", digits=12).first()
         return float(r[0]) if r and r[0] is not None else 0.0
 
@@ -196,18 +197,36 @@ class MacroF1Evaluator(Evaluator):
 def grid_search_ridge(train: DataFrame, alphas=(0.001, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0),
                       fold_col: str = "fold", label: str = "label", parallelism: int = 4,
                       num_folds: int = 5) -> DataFrame:
-    """k-fold R2 per alpha on precomputed folds; returns (alpha, r2)."""
-    st = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(label).alias("s")).first()
-    lr = LinearRegression(elasticNetParam=0.0, standardization=False, labelCol=label)
-    grid = ParamGridBuilder().addGrid(lr.regParam, [a * (st["s"] or 1.0) / st["n"] for a in alphas]).build()
-    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, foldCol=fold_col, parallelism=parallelism,
-                        numFolds=num_folds,
-                        evaluator=RegressionEvaluator(metricName="r2", labelCol=label))
-    model = cv.fit(train)
-    rows = [(float(a), float(m)) for a, m in zip(alphas, model.avgMetrics)]
+    """k-fold R2 per alpha on precomputed folds; returns (alpha, r2).
+
+    Spark scales the penalty by the label's standard deviation and the row
+    count, so both are taken from the rows each fit sees.  ``parallelism``
+    fits of a fold run at a time.
+    """
+    metric = RegressionEvaluator(metricName="r2", labelCol=label)
+    totals = [0.0] * len(alphas)
+    for k in range(num_folds):
+        fit_on, held = train.where(F.col(fold_col) != k), train.where(F.col(fold_col) == k)
+        models = ridge_models(fit_on, alphas, label)
+        with ThreadPool(min(parallelism, len(alphas))) as pool:
+            scores = pool.map(lambda m: metric.evaluate(m().transform(held)), models)
+        totals = [t + s for t, s in zip(totals, scores)]
+    rows = [(float(a), t / num_folds) for a, t in zip(alphas, totals)]
     return train.sparkSession.createDataFrame(rows, "alpha double, r2 double")
 
 
+def ridge_models(train: DataFrame, alphas, label: str = "label"):
+    """One fit per alpha, each a function without arguments: the closed-form
+    ridge with penalty alpha on the rows of ``train``."""
+    st = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(label).alias("s")).first()
+
+    def fit(a):
+        return LinearRegression(elasticNetParam=0.0, standardization=False, labelCol=label,
+                                regParam=a * (st["s"] or 1.0) / st["n"]).fit(train)
+
+    return [functools.partial(fit, a) for a in alphas]
+
+
 SEARCH_SPACE = {
     "maxDepth": ("int", 3, 10),
     "maxIter": ("int", 50, 300),
@@ -237,6 +256,12 @@ def sample_params(space: dict, n: int, seed: int = SEED) -> list[dict]:
     return out
 
 
+def trial_model(train: DataFrame, params: dict, label: str = "label", seed: int = SEED, parallelism: int = 4):
+    """One-vs-rest boosted trees with a trial's parameters (set on the
+    classifier itself: ``OneVsRest.copy`` does not hand them on)."""
+    return OneVsRest(classifier=GBTClassifier(seed=seed, **params), labelCol=label, parallelism=parallelism).fit(train)
+
+
 def random_search(train: DataFrame, n_trials: int = 30, fold_col: str = "fold", label: str = "label",
                   seed: int = SEED, space: dict | None = None, parallelism: int = 4,
                   num_folds: int = 5) -> DataFrame:
@@ -244,18 +269,13 @@ def random_search(train: DataFrame, n_trials: int = 30, fold_col: str = "fold",
     Returns one row per trial (params as JSON, mean macro-F1), best first."""
     import json
     trials = sample_params(space or SEARCH_SPACE, n_trials, seed)
-    gbt = GBTClassifier(seed=seed)
-    ovr = OneVsRest(classifier=gbt, labelCol=label, parallelism=parallelism)
-    maps = []
-    for t in trials:
-        m = {}
-        for k, v in t.items():
-            m[gbt.getParam(k)] = v
-        maps.append({ovr.classifier: gbt.copy(m)})
-    cv = CrossValidator(estimator=ovr, estimatorParamMaps=maps, foldCol=fold_col, numFolds=num_folds,
-                        evaluator=MacroF1Evaluator(label), parallelism=1)
-    model = cv.fit(train)
-    rows = [(i, json.dumps(t, sort_keys=True), float(s)) for i, (t, s) in enumerate(zip(trials, model.avgMetrics))]
+    metric = MacroF1Evaluator(label)
+    totals = [0.0] * len(trials)
+    for k in range(num_folds):
+        fit_on, held = train.where(F.col(fold_col) != k), train.where(F.col(fold_col) == k)
+        for i, t in enumerate(trials):
+            totals[i] += metric.evaluate(trial_model(fit_on, t, label, seed, parallelism).transform(held))
+    rows = [(i, json.dumps(t, sort_keys=True), s / num_folds) for i, (t, s) in enumerate(zip(trials, totals))]
     res = train.sparkSession.createDataFrame(rows, "trial int, params string, f1_macro double")
     return res.orderBy(F.desc("f1_macro"), "trial")
 

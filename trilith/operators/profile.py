@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import UNLABELLED
-from ..functions.stats import exact_mean, exact_quantiles, guarded_corr
+from ..functions.stats import exact_mean, exact_quantiles, guarded_corr, without_nan
 
 
 def _stack(cols_exprs: list[tuple[str, str]], names: tuple[str, ...]) -> str:
@@ -71,8 +71,9 @@ def describe_numeric(df: DataFrame, cols: list[str], digits: int = 6) -> DataFra
     Moments come from one aggregate pass (the mean from exact fixed-point
     sums, so it does not depend on the merge order of partial aggregates);
     quartiles from the exact distributed selection (a few more scans, no
-    single-task gather).
+    single-task gather).  NaN counts as NULL.
     """
+    df = without_nan(df, cols)
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")

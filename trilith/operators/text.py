@@ -101,7 +101,7 @@ def ngrams(df: DataFrame, id_col: str, tokens: str = "tokens",
     """(doc, ngram, n, count): every n-gram occurrence counted per document."""
     grams = df.select(id_col, F.explode(ngrams_col(F.col(tokens), ngram_range)).alias("ngram"))
     return (grams.groupBy(id_col, "ngram").agg(F.count(F.lit(1)).alias("count"))
-            .withColumn("n", (F.size(F.split("ngram", " "))).cast("int")))
+            .select(id_col, "ngram", F.size(F.split("ngram", " ")).cast("int").alias("n"), "count"))
 
 
 def term_counts(df: DataFrame, id_col: str, tokens: str = "tokens",

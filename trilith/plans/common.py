@@ -94,6 +94,19 @@ def split_cte(src: str = "items", id_col: str = "item_id", label: str = "categor
   SELECT {id_col}, {label}, 'unlabelled' AS split FROM {src} WHERE {label} IS NULL)"""
 
 
+def split_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, categorie and the stratified ``split``: no measure is read
+    beyond what the item view needs for the two columns."""
+    from ..operators.split import stratified_split
+    return stratified_split(label_items(spark, sf_dir), "item_id", "categorie", seed=42)
+
+
+def label_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id and categorie, written once (the cut points need several scans)."""
+    from ..session import stored
+    return stored(item_view(spark, sf_dir).select("item_id", "categorie"), "labels")
+
+
 def split_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capped items with a ``split`` column (stratified on ``categorie``)."""
     from ..operators.split import stratified_split

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import encode as E
-from ..sources.items import MEASURE_COLUMNS
-from .common import capped_items, items_sql
+from ..session import stored
+from ..sources.items import MEASURE_COLUMNS, item_view
+from .common import capped_items, items_sql, label_items
 from .registry import register
 
 MEAS = MEASURE_COLUMNS
@@ -19,7 +20,7 @@ FROM capped LEFT JOIN (
   SELECT source AS s, row_number() OVER (ORDER BY source) - 1 AS code
   FROM (SELECT DISTINCT source FROM capped WHERE source IS NOT NULL)) e ON e.s = capped.source"""))
 def q_ordinal_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = capped_items(spark, sf_dir).select("item_id", "source")
+    df = stored(item_view(spark, sf_dir).select("item_id", "source"), "sources")
     return E.ordinal_encode(df, "source", out="source_enc")
 
 
@@ -32,7 +33,7 @@ lab AS (SELECT categorie AS c, CAST(row_number() OVER (ORDER BY categorie) - 1 A
     "SELECT item_id, categorie, lab.code AS categorie_enc FROM capped LEFT JOIN lab ON lab.c = capped.categorie",
     _LABEL_CTE))
 def q_label_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = capped_items(spark, sf_dir).select("item_id", "categorie")
+    df = label_items(spark, sf_dir)
     return E.label_encode(df, "categorie", out="categorie_enc")[0]
 
 
@@ -40,7 +41,7 @@ def q_label_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT item_id, lab.code AS categorie_enc, lab.c AS categorie_dec FROM capped LEFT JOIN lab ON lab.c = capped.categorie",
     _LABEL_CTE))
 def q_label_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = capped_items(spark, sf_dir).select("item_id", "categorie")
+    df = label_items(spark, sf_dir)
     enc, labels = E.label_encode(df, "categorie", out="categorie_enc")
     return E.label_decode(enc, "categorie_enc", labels, "categorie_dec").select(
         "item_id", "categorie_enc", "categorie_dec")

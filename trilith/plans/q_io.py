@@ -8,7 +8,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 
 from ..sources import io as IO
 from ..sources.items import ITEM_COLUMNS, item_view
-from .common import items_sql, split_cte, split_items
+from .common import items_sql, split_cte, split_labels
 from .flagship import FLAGSHIP_SQL, q_flagship
 from .registry import register
 
@@ -33,7 +33,7 @@ def q_ensure_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("write_splits", items_sql("SELECT item_id, categorie, split FROM splits", split_cte("capped")))
 def q_write_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = split_items(spark, sf_dir).select("item_id", "categorie", "split")
+    s = split_labels(spark, sf_dir).select("item_id", "categorie", "split")
     return IO.write_splits(s, IO.fresh_path(spark, "splits")).select("item_id", "categorie", "split")
 
 

@@ -14,7 +14,7 @@ from ..functions.udf import group_apply, text_udf
 from ..operators import quality as Q
 from ..sources.items import ITEM_COLUMNS, MEASURE_COLUMNS, item_view
 from ..sources.tables import read_table
-from .common import capped_items, clean_items, items_sql, split_cte, split_items, union_sql
+from .common import capped_items, clean_items, items_sql, split_cte, split_labels, union_sql
 from .registry import register
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -75,7 +75,7 @@ SELECT split, round(n / sum(n) OVER (), 6) AS share, e AS expected, abs(round(n
 FROM (SELECT split, count(*) AS n, CASE split WHEN 'train' THEN 0.7 WHEN 'val' THEN 0.15 ELSE 0.15 END::DOUBLE AS e
       FROM splits WHERE split IN ('train', 'val', 'test') GROUP BY 1)""", split_cte("capped")))
 def q_expect_split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.expect_split_sizes(split_items(spark, sf_dir), "split", {"train": 0.70, "val": 0.15, "test": 0.15})
+    return Q.expect_split_sizes(split_labels(spark, sf_dir), "split", {"train": 0.70, "val": 0.15, "test": 0.15})
 
 
 _WS = "\t\n\x0b\f\r "

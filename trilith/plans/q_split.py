@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from ..operators import split as S
 from ..sources.items import NUMERIC_COLUMNS, item_view
 from ..sources.tables import read_table
-from .common import capped_items, items_sql, split_cte, split_items
+from .common import capped_items, items_sql, split_cte, split_labels
 from .registry import register
 
 
 @register("stratified_split", items_sql("SELECT item_id, categorie, split FROM splits", split_cte("capped")))
 def q_stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_items(spark, sf_dir).select("item_id", "categorie", "split")
+    return split_labels(spark, sf_dir).select("item_id", "categorie", "split")
 
 
 @register("hash_split", items_sql(
@@ -39,7 +39,7 @@ def q_kfold_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT d.doc_id, d.lang, s.split FROM documents d JOIN splits s ON s.item_id = d.doc_id", split_cte("capped")))
 def q_split_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return S.split_join(docs, split_items(spark, sf_dir), "doc_id", "item_id")
+    return S.split_join(docs, split_labels(spark, sf_dir), "doc_id", "item_id")
 
 
 @register("combine_modalities", items_sql(
@@ -67,6 +67,6 @@ def q_alignment_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("concat_splits", items_sql(
     "SELECT item_id, categorie, split FROM splits WHERE split <> 'unlabelled'", split_cte("capped")))
 def q_concat_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = split_items(spark, sf_dir).select("item_id", "categorie", "split")
+    s = split_labels(spark, sf_dir).select("item_id", "categorie", "split")
     parts = [s.where(F.col("split") == name) for name in ("train", "val", "test")]
     return S.concat_splits(*parts)
