@@ -104,3 +104,26 @@ def test_column_order(spark):
     assert ngrams(d, "doc_id").columns == ["doc_id", "ngram", "n", "count"]
     r = spark.createDataFrame([("m", "t", 0.5), ("k", "t", 0.4)], "model string, task string, f1 double")
     assert E.score_delta(r, "model", "m", "f1", by=["task"]).columns == ["model", "task", "f1", "delta"]
+
+
+def test_nan_counts_as_null_everywhere(spark):
+    from trilith.operators.encode import fit_scaler, standard_scale
+    from trilith.operators.knn import impute_knn
+    from trilith.operators.profile import correlation_matrix, missing_patterns, null_rate_by
+    rows = [(i, float(i), float(2 * i + i % 3), "ab"[i % 2]) for i in range(1, 13)] + [(13, math.nan, 4.0, "a")]
+    nulls = [(i, None if math.isnan(x) else x, y, g) for i, x, y, g in rows]
+    schema = "id long, x double, y double, g string"
+    with_nan, with_null = spark.createDataFrame(rows, schema), spark.createDataFrame(nulls, schema)
+    same = [lambda d: correlation_matrix(d, ["x", "y"]), lambda d: missing_patterns(d, ["x", "y"]),
+            lambda d: null_rate_by(d, "x", "g"), lambda d: standard_scale(d, ["x"]).orderBy("id"),
+            lambda d: impute_knn(d, "id", ["x", "y"], k=3).orderBy("id")]
+    for f in same:
+        assert f(with_nan).collect() == f(with_null).collect()
+    assert fit_scaler(with_nan, ["x"]) == fit_scaler(with_null, ["x"])
+
+
+def test_boxes_of_few_groups_move_no_rows(spark):
+    from trilith.operators.profile import boxplot_by
+    df = spark.range(3000).select((F.col("id") % 4).cast("string").alias("g"), (F.col("id") % 97).cast("double").alias("x"))
+    plan = boxplot_by(df, "x", "g")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

@@ -13,6 +13,8 @@ from itertools import chain
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import without_nan
+
 MAX_CATEGORIES = 100_000
 
 
@@ -63,8 +65,9 @@ def label_decode(df: DataFrame, col: str, labels: list, out: str) -> DataFrame:
 
 
 def fit_scaler(df: DataFrame, cols: list[str], with_mean: bool = True) -> dict[str, tuple[float, float]]:
-    """{col: (mean, population std)}; a zero or undefined std scales by 1."""
-    r = df.agg(*chain.from_iterable(
+    """{col: (mean, population std)}; a zero or undefined std scales by 1;
+    NaN counts as NULL."""
+    r = without_nan(df, cols).agg(*chain.from_iterable(
         (F.avg(F.col(c).cast("double")).alias(f"{c}__m"),
          F.stddev_pop(F.col(c).cast("double")).alias(f"{c}__s")) for c in cols)).first()
     out = {}
@@ -75,7 +78,7 @@ def fit_scaler(df: DataFrame, cols: list[str], with_mean: bool = True) -> dict[s
 
 
 def apply_scaler(df: DataFrame, params: dict[str, tuple[float, float]]) -> DataFrame:
-    out = df
+    out = without_nan(df, list(params))
     for c, (m, s) in params.items():
         out = out.withColumn(c, (F.col(c) - F.lit(m)) / F.lit(s))
     return out

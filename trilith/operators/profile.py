@@ -178,13 +178,16 @@ def histogram_by(df: DataFrame, col: str, by: str, bins: int = 40) -> DataFrame:
     return src.groupBy(by, b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
 
 
+BROADCAST_GROUPS = 100_000  # of some 60 bytes each
+
+
 def boxplot_by(df: DataFrame, col: str, by: str, factor: float = 1.5, digits: int = 6) -> DataFrame:
     """Per group: quartiles, whiskers (furthest datum within factor x IQR of
     the box) and the number of points beyond them.
 
     Quartiles come from the exact selection; the per-group bounds are a
-    table with one row per group joined back on the group key (AQE turns it
-    into a broadcast once its runtime size is known).
+    table with one row per group, broadcast up to ``BROADCAST_GROUPS`` rows
+    (beyond that joined on the group key), so few groups move no data row.
     """
     src = df.where(F.col(col).isNotNull() & F.col(by).isNotNull() & ~F.isnan(F.col(col).cast("double")))
     qs = exact_quantiles(src, [col], [0.25, 0.5, 0.75], by=by)
@@ -194,6 +197,8 @@ def boxplot_by(df: DataFrame, col: str, by: str, factor: float = 1.5, digits: in
     box = box.withColumn("iqr", F.col("q3") - F.col("q1")) \
              .withColumn("lo_fence", F.col("q1") - factor * F.col("iqr")) \
              .withColumn("hi_fence", F.col("q3") + factor * F.col("iqr"))
+    if len(rows) <= BROADCAST_GROUPS:
+        box = F.broadcast(box)
     x = F.col(col).cast("double")
     stats = (src.select(F.col(by).cast("string").alias(by), x.alias("_x"))
              .join(box, by)
@@ -211,7 +216,10 @@ def correlation_matrix(df: DataFrame, cols: list[str], digits: int = 6,
                        indicator: bool = False) -> DataFrame:
     """Pearson correlation for every ordered pair, pairwise-complete rows,
     one aggregate pass; zero variance gives NULL instead of an ANSI error.
-    With ``indicator`` the correlation is taken between null indicators."""
+    With ``indicator`` the correlation is taken between null indicators.
+    NaN counts as NULL."""
+    df = without_nan(df, cols)
+
     def val(c):
         return F.col(c).isNull().cast("double") if indicator else F.col(c).cast("double")
 
@@ -238,14 +246,15 @@ def missing_correlation(df: DataFrame, cols: list[str], digits: int = 6) -> Data
 
 
 def missing_patterns(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Count of each null bit pattern ('1' = missing), columns in order."""
+    """Count of each null bit pattern ('1' = missing; NaN too), columns in order."""
+    df = without_nan(df, cols)
     pat = F.concat(*[F.when(F.col(c).isNull(), F.lit("1")).otherwise(F.lit("0")) for c in cols])
     return df.groupBy(pat.alias("pattern")).agg(F.count(F.lit(1)).alias("count"))
 
 
 def null_rate_by(df: DataFrame, col: str, by: str, digits: int = 3) -> DataFrame:
-    """Share of nulls in ``col`` per ``by`` group (null groups dropped)."""
-    return (df.where(F.col(by).isNotNull()).groupBy(by)
+    """Share of nulls (NaN too) in ``col`` per ``by`` group (null groups dropped)."""
+    return (without_nan(df, [col]).where(F.col(by).isNotNull()).groupBy(by)
             .agg(F.round(F.avg(F.col(col).isNull().cast("double")), digits).alias("null_rate")))
 
 
