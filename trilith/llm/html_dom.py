@@ -41,7 +41,7 @@ HINTS = {
 }
 EXACT = {"ad", "ads", "nav", "foot", "text", "body", "like", "form", "main", "rail", "post"}
 GROUPS = [{"article", "main"}, {"nav", "menu"}, {"header"}, {"footer", "address"}, {"aside"},
-          {"form", "fieldset", "dialog"}, {"p", "blockquote", "pre"}, {"h1", "h2", "h3", "h4", "h5", "h6"},
+          {"form", "fieldset", "dialog"}, {"p", "blockquote", "pre"}, {"h1"}, {"h2", "h3", "h4", "h5", "h6"},
           {"ul", "ol", "li", "dl", "dt", "dd"}, {"div", "section", "td", "center", "body", "html"}]
 
 
@@ -194,14 +194,15 @@ class Page:
             before = family[i - 1].chars if i else 0
             after = family[i + 1].chars if i + 1 < len(family) else 0
             same = sum(x.tag == node.tag for x in family) if len(family) < 50 else len(family) / 2
-            chars = node.chars
+            chars, around = node.chars, node.parent or node
             rows.append(group + own + list(up[0]) + list(up[1]) + [
                 float(node.depth), math.log1p(chars), chars / total, node.links / chars if chars else 0.0,
                 chars / (node.tags + 1), node.words / (node.tags + 1), node.marks / (chars + 1),
                 chars / (node.words + 1), float(node.paragraphs), node.paragraphs / (node.tags + 1), float(node.inputs),
                 node.start / total, float(i), float(len(family)), same / len(family),
                 others / len(family), chars / (node.parent.chars or 1) if node.parent is not None else 1.0,
-                math.log1p(before), math.log1p(after)])
+                math.log1p(before), math.log1p(after), around.chars / total, float(around.paragraphs),
+                around.links / around.chars if around.chars else 0.0])
             above[id(node)] = (tuple(map(max, up[0], own)), tuple(map(max, up[1], group[:6])))
         return rows
 
@@ -216,4 +217,4 @@ class Page:
         return "\n\n".join(x for x in lines if x)
 
 
-N_FEATURES = len(GROUPS) + 2 * len(HINTS) + 6 + 19
+N_FEATURES = len(GROUPS) + 2 * len(HINTS) + 6 + 22

@@ -29,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .html_dom import N_FEATURES, Page
 
 SAMPLE = 240
-VARIANTS = 4
+VARIANTS = 6
 TREES, DEPTH, BINS, RATE, SHRINK = 60, 4, 32, 0.2, 1.0
 PAGES = 128  # pages whose nodes are scored together
 
@@ -113,7 +114,8 @@ def decode(page: Page, log_odds: np.ndarray) -> list[bool]:
 
 # --------------------------------------------------------------- training pages
 
-MAIN_NAMES = ["content", "article-body", "post-content", "entry-content", "story", "main-content", "post", "text", "", ""]
+MAIN_NAMES = ["content", "article-body", "post-content", "entry-content", "story", "main-content", "post", "text",
+              "", "", "", "", "", "x2", "c-1"]
 OUTER_NAMES = ["wrapper", "container", "page", "site", "row", "col", "layout", "", ""]
 PARTS = {
     "nav": (["nav", "div", "ul"], ["nav", "main-menu", "breadcrumbs", "navbar", "topnav", "pagination"]),
@@ -184,10 +186,10 @@ def _article(rng, texts, blocks: list[str]) -> str:
             out.append(f"<h2>{_words(rng, texts, 1, 6)}</h2><p>{b}</p>")
         else:
             out.append(f"<div>{b}</div>")
-        if rng.random() < 0.08:
+        if rng.random() < 0.1:
             out.append(_part(rng, texts, rng.choice(["ad", "side", "social", "notice", "form"])))
-    if rng.random() < 0.25:
-        out.append(_part(rng, texts, rng.choice(["comments", "social", "side", "footer", "form"])))
+    if rng.random() < 0.4:
+        out.append(_part(rng, texts, rng.choice(["comments", "comments", "footer", "footer", "social", "side", "form"])))
     tag = rng.choice(["article", "article", "main", "div", "section"])
     name = rng.choice(MAIN_NAMES)
     attr = f' {rng.choice(["class", "id"])}="{name}"' if name else ""
@@ -272,6 +274,7 @@ def extract(sources: list[str], forest: Forest) -> list[str]:
 
 def extract_pages(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """page_id, url, text, n_chars: one row per row of ``pages``."""
+    bounded_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", "html")
     picked = (rows.select("page_id").where("page_id IS NOT NULL").distinct()
               .orderBy(F.md5(F.col("page_id").cast("string")), "page_id").limit(sample))
