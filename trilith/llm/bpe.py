@@ -25,7 +25,6 @@ a text become their ids, as the tokenizer file says.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 from collections import deque
@@ -37,10 +36,12 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from .common import bounded_batches, task_state
+
 #: Fixed value: the public byte-level pre-split pattern.
 SPLIT_PATTERN = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED_WORDS = 200_000
-CHARS = 4_000_000  # bytes of text whose words are encoded together
+CACHED_WORDS = 100_000
+CHARS = 2_000_000  # bytes of text whose words are encoded together
 LONG_WORD = 64  # bytes; longer words are read alone
 CACHED_ARCS = 2_000_000
 NEVER = 1 << 60
@@ -305,15 +306,6 @@ class Codec:
         return ",".join(map(self.names.__getitem__, ids))
 
 
-def task_codec(automaton: Automaton) -> Codec:
-    """The codec of this Python worker: a reused worker keeps the broadcast
-    automaton, and with it the tables filled by earlier tasks."""
-    if not hasattr(automaton, "codec"):
-        automaton.codec = Codec(automaton)
-        gc.freeze()  # the tables stay: keep the collector from walking them
-    return automaton.codec
-
-
 def _digests(codec: Codec, ids: list[int]) -> tuple[int, str, str]:
     return (len(ids), hashlib.sha256(codec.joined(ids).encode()).hexdigest(),
             hashlib.sha256(codec.decode(ids).encode("utf-8")).hexdigest())
@@ -338,12 +330,13 @@ def encode_documents(docs: DataFrame, path: str, digests: bool = False) -> DataF
     The compiled tables go to the tasks by broadcast; their size is that of
     the vocabulary.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(load_automaton(path))
     schema = ("doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests
               else "doc_id long, n_tokens long, ids array<int>, decoded string")
 
     def run(batches):
-        codec = task_codec(shared.value)
+        codec = task_state(shared.value, lambda: Codec(shared.value))
         for batch in batches:
             for doc_ids, part in _slices(batch):
                 ids = codec.encode_batch(part)

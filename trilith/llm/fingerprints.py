@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import bounded_batches, partitions
 from .shingles import hashed_words, shingles
 
 WIDTH, K, BITS = 5, 128, 48
@@ -173,6 +173,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     columns are ignored; an empty table gives an empty result.  Texts are
     shuffled once, into ranges of ids; a task holds a few hundred texts.
     """
+    bounded_batches(docs.sparkSession)
     n = max(2, partitions(docs.sparkSession))
     dealt = in_order(docs, n)
     ordered = (dealt.repartition(n, "_range")

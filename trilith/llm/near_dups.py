@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stored
+from .common import bounded_batches, drop_task_state, partitions, stored
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -105,6 +105,7 @@ def odd_sketches(low: np.ndarray) -> np.ndarray:
 
 
 def _signature_batches(batches, width: int):
+    drop_task_state()
     names = [c.split()[0] for c in SIGNATURE.split(", ")]
     for batch in batches:
         for start in range(0, batch.num_rows, BATCH):
@@ -295,9 +296,17 @@ def _across(shared: DataFrame, ones: DataFrame, first: DataFrame, docs: DataFram
     return stored(links.distinct(), "near-links")
 
 
+def _same_id(filled: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of an id that has several texts."""
+    held = filled.select("node", "digest").join(classes, "digest").select("node", "class_id")
+    several = held.groupBy("node").agg(F.min("class_id").alias("a"), F.max("class_id").alias("z")).where("a <> z")
+    return held.join(several, "node").where("a <> class_id").select("a", F.col("class_id").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id, text_md5: one row
     per input row.  ``class_id`` is the smallest id with the same set."""
+    bounded_batches(docs.sparkSession)
     sig = stored(signatures(docs, width), "near-signatures")
     limit = xor_limit(percent)
     filled = sig.where("n_shingles > 0")
@@ -315,7 +324,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     stars = (shared.where("a <> node").select("a", F.col("node").alias("b")).distinct()
              .join(sketches.alias("x"), F.col("a") == F.col("x.node"))
              .join(sketches.alias("y"), F.col("b") == F.col("y.node")).where(_xor_count("x", "y") <= limit))
-    links = _confirm(stars, docs, width, percent)
+    links = _confirm(stars, docs, width, percent).union(_same_id(filled, classes))
     first = stored(components(links), "near-first")
 
     # across the components that still meet in a bucket

@@ -29,8 +29,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import bounded_batches, drop_task_state
+
 KINDS = ("assign", "access", "hex", "pem", "key", "token")
 BASE_KINDS = KINDS[:3]
+ROWS = 256  # texts masked at once
 ORDER = {k: i for i, k in enumerate(KINDS)}
 
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -199,6 +202,7 @@ def _scan_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def scan_documents(docs: DataFrame) -> DataFrame:
     """Counts, digest and spans per row of ``docs`` (doc_id, text)."""
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(_scan_batches, SCHEMA)
 
 
@@ -208,11 +212,15 @@ def redact_documents(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     through as they are."""
 
     def run(batches):
-        for batch in batches:
-            texts = [None if t is None else redact(t, mask) for t in batch.column("text").to_pylist()]
-            new = {"text": texts, "n_chars": [None if t is None else len(t) for t in texts]}
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(new[f.name], f.type) if f.name in new else batch.column(i)
-                 for i, f in enumerate(batch.schema)], schema=batch.schema)
-
+        drop_task_state()
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                texts = [None if t is None else redact(t, mask) for t in batch.column("text").to_pylist()]
+                new = {"text": texts, "n_chars": [None if t is None else len(t) for t in texts]}
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(new[f.name], f.type) if f.name in new else batch.column(i)
+                     for i, f in enumerate(batch.schema)], schema=batch.schema)
+
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

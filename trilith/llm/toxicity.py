@@ -24,7 +24,6 @@ out; without rows of both classes every score is 0; extra columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import re
 import unicodedata
@@ -37,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, drop_task_state, task_state
+
 SYMBOLS = 28  # 0 boundary, 1 to 26 letters, 27 any other letter
 ORDER = 4
 CELLS = SYMBOLS ** ORDER
@@ -44,7 +45,7 @@ SAMPLE = 3000
 BUCKETS = 1 << 20
 LEVELS = 4
 PREFIXES = (3, 4, 5, 6, 7)
-CACHED_TOKENS = 300_000
+CACHED_TOKENS = 150_000
 THRESHOLD = 0.7
 
 #: What digits and signs stand for.
@@ -74,7 +75,8 @@ SYMBOL = _symbol_table()
 
 
 def symbol(c: str) -> int:
-    return int(SYMBOL[ord(c)]) if ord(c) < len(SYMBOL) else 27 * c.isalpha()
+    """As in ``_symbols``: beyond the table, 'other' below U+2000, else a boundary."""
+    return int(SYMBOL[ord(c)]) if ord(c) < len(SYMBOL) else 27 * (ord(c) < 0x2000)
 
 
 def _symbols(text: str) -> np.ndarray:
@@ -85,7 +87,9 @@ def _symbols(text: str) -> np.ndarray:
 def count_into(cells: np.ndarray, text: str, piece: int = 1 << 20) -> None:
     """Add the 4-grams of ``text``; nothing before a word's start is seen."""
     for start in range(0, len(text), piece):
-        s = np.concatenate([np.zeros(3, dtype=np.int64), _symbols(text[max(0, start - 3):start + piece] + " ")])
+        before, end = text[max(0, start - 3):start], " " if start + piece >= len(text) else ""
+        s = _symbols(before + text[start:start + piece] + end)
+        s = np.concatenate([np.zeros(3 - len(before), dtype=np.int64), s])
         a = s[2:-1]
         b = np.where(a > 0, s[1:-2], 0)
         c = np.where(b > 0, s[:-3], 0)
@@ -95,6 +99,7 @@ def count_into(cells: np.ndarray, text: str, piece: int = 1 << 20) -> None:
 
 
 def _count_batches(batches):
+    drop_task_state()
     cells = np.zeros(CELLS, dtype=np.int64)
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
@@ -347,31 +352,23 @@ def train(docs: DataFrame, labels: DataFrame, model: CharModel, sample: int = SA
     return fit(ids.flatten().to_numpy(), sizes, y, np.array([min(1.0, sample / total[k]) for k in (0, 1)]))
 
 
-def task_evidence(evidence: Evidence) -> Evidence:
-    """The broadcast object itself: a reused worker keeps it, and with it the
-    tokens seen in earlier tasks."""
-    if not hasattr(evidence, "frozen"):
-        evidence.frozen = True
-        gc.freeze()
-    return evidence
-
-
 def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE,
                     threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted, text_md5: one row per input row."""
+    bounded_batches(docs.sparkSession)
     model = language_model(docs)
-    weights, bias = train(docs, labels, model, sample) or ({}, -1e9)
+    weights, bias = train(docs, labels, model, sample) or ({}, -np.inf)
     shared = docs.sparkSession.sparkContext.broadcast(Evidence(model, weights, bias))
     schema = "doc_id long, score double, text_md5 string"
 
     def run(batches):
-        evidence = task_evidence(shared.value)
+        evidence = task_state(shared.value, lambda: shared.value)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 z = [evidence.log_odds(t) for t in texts]
-                scores = 1 / (1 + np.exp(-np.clip(np.array(z), -700, 700)))
+                scores = np.exp(-np.logaddexp(0.0, -np.array(z)))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").cast(pa.int64()), pa.array(scores),
                      pa.array([hashlib.md5(t.encode("utf-8")).hexdigest() for t in texts])],
