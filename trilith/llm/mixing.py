@@ -4,9 +4,9 @@
 Documents fall into cells of source, language and topic; a cell's tokens are
 its words.  Raking multiplies the cells' token weights so that their sums
 meet the targets of each source, then of each language, then of each topic,
-until all three hold to ``TOLERANCE`` or ``ROUNDS`` sweeps are done (targets
-that contradict each other or the empty cells have no exact solution; the
-last sweep is then taken).  A document of a cell is sampled with probability
+until all three hold to ``TOLERANCE``.  Targets that contradict each other or
+the empty cells have no exact solution: sweeps then end when the greatest miss
+falls by less than a thousandth (or after ``ROUNDS``), and the last is taken.  A document of a cell is sampled with probability
 weight per token over the greatest weight per token, so the expected tokens
 of the sample have the raked proportions and no probability exceeds 1.  The
 decision compares the probability with a hash of the id: it is repeatable and
@@ -33,12 +33,12 @@ from pyspark.sql import functions as F
 from .common import stored, unit_hash
 from .quality import GAP
 
-ALPHA, TOLERANCE, ROUNDS = 0.85, 1e-9, 100
+ALPHA, TOLERANCE, ROUNDS, STALLED = 0.85, 1e-9, 100, 0.999
 DIMENSIONS = ("source", "lang", "topic")
 NONE = "(none)"
 #: Topic rules in order: name and pattern.
 TOPICS = (("legal", r"(?i)licen[cs]ed under|all rights reserved|copyright"),
-          ("contact", r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[a-z]{2,}"),
+          ("contact", r"[A-Za-z0-9._-]@[A-Za-z0-9-]+\.[a-z]{2,}"),
           ("table", r" \| [^|\n]* \| "),
           ("noise", r"[#*$%&]{3}|!!"))
 
@@ -50,13 +50,19 @@ def topic(text: Column) -> Column:
     return out
 
 
+def _words(text: Column) -> Column:
+    """Number of words."""
+    inner = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+    return F.when(inner == "", 0).otherwise(F.size(F.split(inner, GAP)))
+
+
 def with_cells(docs: DataFrame, seed: str) -> DataFrame:
     """Each row of ``docs`` as ``_row``, its cell, tokens and uniform number."""
     text = F.coalesce("text", F.lit(""))
     return docs.select(
         F.struct("*").alias("_row"), F.coalesce("source", F.lit(NONE)).alias("source"),
         F.coalesce("lang", F.lit(NONE)).alias("lang"), topic(text).alias("topic"),
-        F.size(F.filter(F.split(text, GAP), lambda w: w != "")).cast("double").alias("_tokens"),
+        _words(text).cast("double").alias("_tokens"),
         unit_hash(F.col("doc_id"), F.md5(text), seed=seed).alias("_u"))
 
 
@@ -85,19 +91,20 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
         cells = cells.join(targets[dim].select(dim, F.col("share").alias(f"t_{dim}")), dim, "left").fillna(
             0.0, [f"t_{dim}"])
     cells = stored(cells.withColumn("weight", F.col("tokens")), "cells")
+    last = float("inf")
     for _ in range(ROUNDS):
         for dim in DIMENSIONS:
             cells = stored(_raked(cells, dim), "cells")
-        if _gap(cells) <= TOLERANCE:
+        gap = _gap(cells)
+        if gap <= TOLERANCE or gap >= STALLED * last:
             break
+        last = gap
     return cells
 
 
-def calibrated(docs: DataFrame, targets: dict[str, DataFrame] | None = None, alpha: float = ALPHA,
-               seed: str = "mix") -> DataFrame:
-    """_row (the document), source, lang, topic, _tokens, weight (raked
-    share of the cell), probability and sampled."""
-    marked = with_cells(docs, seed)
+def calibrated(marked: DataFrame, targets: dict[str, DataFrame] | None = None, alpha: float = ALPHA) -> DataFrame:
+    """``marked`` (of ``with_cells``) with weight (raked share of the cell),
+    probability and sampled."""
     cells = stored(marked.groupBy(*DIMENSIONS).agg(F.sum("_tokens").alias("tokens")), "cells")
     targets = {d: (targets or {}).get(d) or tempered(cells, d, alpha) for d in DIMENSIONS}
     cells = rake(cells, targets)
@@ -108,13 +115,15 @@ def calibrated(docs: DataFrame, targets: dict[str, DataFrame] | None = None, alp
     return marked.join(rates, [*DIMENSIONS]).withColumn("sampled", F.col("_u") < F.col("probability"))
 
 
-def mix_report(docs: DataFrame, **how) -> DataFrame:
-    """One row per document with its cell, probability and decision."""
-    return calibrated(docs.select("doc_id", "source", "lang", "text"), **how).select(
-        "_row.doc_id", *DIMENSIONS, F.col("_tokens").cast("long").alias("n_tokens"),
-        F.round("probability", 6).alias("probability"), "sampled")
+def mix_report(docs: DataFrame, seed: str = "mix", **how) -> DataFrame:
+    """One row per document with its cell, probability and decision; texts
+    are read once."""
+    marked = with_cells(docs.select("doc_id", "source", "lang", "text"), seed).withColumn("doc_id", F.col("_row.doc_id"))
+    return calibrated(stored(marked.drop("_row"), "mix"), **how).select(
+        "doc_id", *DIMENSIONS, F.col("_tokens").cast("long").alias("n_tokens"),
+        F.round("probability", 6).alias("probability"), "sampled", "weight")
 
 
-def sample_documents(docs: DataFrame, **how) -> DataFrame:
+def sample_documents(docs: DataFrame, seed: str = "mix", **how) -> DataFrame:
     """The sampled rows of ``docs`` with their own columns, whatever their names."""
-    return calibrated(docs, **how).where("sampled").select("_row.*")
+    return calibrated(with_cells(docs, seed), **how).where("sampled").select("_row.*")

@@ -100,7 +100,7 @@ FROM d JOIN f USING (source, lang, topic)"""
 
 @register("op5_mixing", MIX_SQL)
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_report(read_table(spark, sf_dir, "documents"))
+    return mixing.mix_report(read_table(spark, sf_dir, "documents")).drop("weight")
 
 
 @register("op6_warc", """
@@ -150,8 +150,8 @@ m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
     CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS removed_words
   FROM d LEFT JOIN rep ON rep.text = d.text
   LEFT JOIN gone ON gone.text = d.text AND gone.host IS NOT DISTINCT FROM d.host)
-SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT (removed_words > 0
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, removed_words, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT (removed_words > 0
     AND (n_words - removed_words < 20 OR n_words - removed_words < 0.3 * n_words)) AS kept FROM m"""
 
 
