@@ -68,8 +68,8 @@ def with_cells(docs: DataFrame, seed: str) -> DataFrame:
 
 def tempered(cells: DataFrame, dim: str, alpha: float) -> DataFrame:
     sums = cells.groupBy(dim).agg(F.pow(F.sum("tokens"), F.lit(alpha)).alias("t")).where("t > 0")
-    return sums.crossJoin(F.broadcast(sums.agg(F.sum("t").alias("all")))).select(  # one row
-        dim, (F.col("t") / F.col("all")).alias("share"))
+    whole = sums.agg(F.sum("t")).first()[0] or 1.0
+    return sums.select(dim, (F.col("t") / F.lit(whole)).alias("share"))
 
 
 def _raked(cells: DataFrame, dim: str) -> DataFrame:
@@ -109,9 +109,8 @@ def calibrated(marked: DataFrame, targets: dict[str, DataFrame] | None = None, a
     targets = {d: (targets or {}).get(d) or tempered(cells, d, alpha) for d in DIMENSIONS}
     cells = rake(cells, targets)
     rate = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
-    top = cells.agg(F.max(rate).alias("top"))
-    rates = cells.crossJoin(F.broadcast(top)).select(  # one row
-        *DIMENSIONS, "weight", F.when(F.col("top") > 0, rate / F.col("top")).otherwise(0.0).alias("probability"))
+    top = cells.agg(F.max(rate)).first()[0] or 1.0
+    rates = cells.select(*DIMENSIONS, "weight", (rate / F.lit(top)).alias("probability"))
     return marked.join(rates, [*DIMENSIONS]).withColumn("sampled", F.col("_u") < F.col("probability"))
 
 
