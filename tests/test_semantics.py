@@ -38,7 +38,7 @@ def test_exact_quantiles_hot_value_and_single_row(spark):
 
 def test_exact_quantiles_deep_refinement(spark, monkeypatch):
     import trilith.functions.stats as st
-    monkeypatch.setattr(st, "COLLECT_MAX", 10)
+    monkeypatch.setattr(st, "FETCH_ROWS", 10)
     monkeypatch.setattr(st, "BUCKETS", 4)
     vals = [float(i) ** 3 for i in range(400)]
     df = spark.createDataFrame([(v,) for v in vals], "x double")
