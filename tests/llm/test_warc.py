@@ -2,6 +2,7 @@ import base64
 import hashlib
 
 import numpy as np
+import pytest
 
 from trilith.llm import warc
 from trilith.llm.common import fresh_path
@@ -37,6 +38,28 @@ def test_empty_table(spark):
     assert warc.read_warc(spark, path).count() == 0
 
 
+def test_long_urls_lose_no_record(spark):
+    rows = [(1, "u" * 100_000, "first"), (2, "u", "second"), (3, "http://x/" + "y" * 300_000, FAKE), (4, "u", "last")]
+    path = fresh_path(spark, "t-warc")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    got = warc.read_warc(spark, path).collect()
+    assert sorted((r["page_id"], r["url"], r["payload_ok"]) for r in got) == [(i, u, True) for i, u, _ in rows]
+
+
+def test_a_chain_that_stops_early_is_an_error():
+    record = b"WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    for broken in (record + b"junk" + record, b"junk" + record, record[:-1]):
+        with pytest.raises(ValueError, match="chain broken"):
+            list(warc._records(memoryview(broken)))
+    assert list(warc._records(memoryview(b""))) == []
+
+
+def test_many_candidates_before_one_blank_line():
+    data = b"WARC/1.0\r\n" * 200_000 + b"Content-Length: 0\r\n\r\n\r\n\r\n"
+    at, _, after = warc.candidates(data)
+    assert len(at) == 200_000 and set(after.tolist()) == {len(data)}
+
+
 def test_only_the_chain_from_the_start_counts():
     record = lambda body: b"WARC/1.0\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(body), body)
     inner = record(b"inside")

@@ -9,7 +9,8 @@ Reading: every occurrence of the version line in a file, inside payloads too,
 is a candidate if a header with a length follows it; it points to the offset
 where its record would end.  Pointer jumping from the file's start marks the
 reachable candidates in a logarithmic number of rounds, and only these are
-records.  A broken link ends a file's chain there.
+records.  Headers may have any length.  A chain that stops before its file's
+end is an error: no record is dropped silently.
 
 Defined results: null html is an empty payload; of records with equal
 payloads the smallest page_id is the response and the others revisit it (all
@@ -36,8 +37,8 @@ END = "\r\n\r\n"
 #: RFC 4648 digits in order, against those of a base-32 number.
 B32_FROM, B32_TO = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 START_RE = re.compile(rb"WARC/1\.[01]\r\n")
-LENGTH_RE = re.compile(rb"\r\nContent-Length: *(\d+)\r\n", re.I)
-MAX_HEADER = 1 << 16
+LENGTH_RE = re.compile(rb"\r\nContent-Length: *(\d+)(?=\r\n)", re.I)
+BLANK_RE = re.compile(rb"\r\n\r\n")
 MAX_BROADCAST_ROWS = 200_000  # of 40 bytes each
 
 
@@ -87,19 +88,20 @@ def write_warc(pages: DataFrame, path: str, records_per_file: int = 2000) -> Non
 
 
 def candidates(data) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Offsets, block starts and successors of all candidate records."""
+    """Offsets, block starts and successors of all candidate records.  Blank
+    lines and lengths are found in one pass each, so many candidates before
+    one far blank line cost no more than few."""
     at, block, after = [], [], []
-    for m in START_RE.finditer(data):
-        head = bytes(data[m.start():m.start() + 4096])
-        stop = head.find(b"\r\n\r\n")
-        if stop < 0:
-            head = bytes(data[m.start():m.start() + MAX_HEADER])
-            stop = head.find(b"\r\n\r\n")
-        size = LENGTH_RE.search(head, 0, stop + 2) if stop >= 0 else None
-        if size:
-            at.append(m.start())
-            block.append(m.start() + stop + 4)
-            after.append(block[-1] + int(size[1][:18]) + 4)
+    blanks = np.array([m.start() for m in BLANK_RE.finditer(data)], dtype=np.int64)
+    lengths = [(m.start(), m.end(), int(m[1][:18])) for m in LENGTH_RE.finditer(data)]
+    starts = np.array([x[0] for x in lengths], dtype=np.int64)
+    found = np.array([m.start() for m in START_RE.finditer(data)], dtype=np.int64)
+    for i, stop, size in zip(found.tolist(), np.searchsorted(blanks, found).tolist(),
+                             np.searchsorted(starts, found).tolist()):
+        if stop < len(blanks) and size < len(lengths) and lengths[size][1] <= blanks[stop]:
+            at.append(i)
+            block.append(int(blanks[stop]) + 4)
+            after.append(block[-1] + lengths[size][2] + 4)
     return tuple(np.array(x, dtype=np.int64) for x in (at, block, after))
 
 
@@ -131,7 +133,10 @@ SCHEMA = ("page_id long, url string, payload_bytes long, payload_digest string,
 
 def _records(content: memoryview):
     at, block, after = candidates(content)
-    for i in np.flatnonzero(reachable(at, after, len(content))):
+    chain = np.flatnonzero(reachable(at, after, len(content)))
+    if len(content) and (not len(chain) or after[chain[-1]] != len(content)):
+        raise ValueError(f"WARC chain broken after {len(chain)} records, before the end at {len(content)} bytes")
+    for i in chain:
         lines = bytes(content[at[i]:block[i] - 4]).decode("utf-8").split("\r\n")[1:]
         h = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines)
         payload = bytes(content[block[i]:after[i] - 4])
