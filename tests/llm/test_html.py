@@ -76,6 +76,13 @@ def test_decoding_is_the_best_labelling():
         assert abs(value(X.decode(page, z)) - best) < 1e-9
 
 
+def test_share_of_siblings_with_the_tag_is_exact_at_every_size():
+    for n in (10, 49, 50, 400):
+        page = Page("<article>" + "<p>words here</p>" * n + "<ul><li>a</li></ul></article>")
+        shares = [f[-8] for node, f in zip(page.nodes, page.features()) if node.tag == "p"]
+        assert shares == [n / (n + 1)] * n
+
+
 def test_references_space_and_parts(forest):
     source = """<html><head><title>no</title><style>p{}</style></head><body><nav><a href=x>Menu</a></nav>
       <article><h1>A &amp; B</h1><p>one\n  two&nbsp;three<br>four <b>five</b></p><script>var x = "</p>";</script>

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 TAG_RE = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
                     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
@@ -183,6 +184,7 @@ class Page:
         depth, subtree density and statistics of the siblings."""
         total = self.root.chars or 1
         above: dict[int, tuple] = {}
+        tags: dict[int, Counter] = {}  # of the children, counted once per parent
         rows = []
         kinds = list(HINTS)
         for node in self.nodes:
@@ -193,7 +195,9 @@ class Page:
             i, others = node.index, node.parent.chars - node.chars if node.parent is not None else 0
             before = family[i - 1].chars if i else 0
             after = family[i + 1].chars if i + 1 < len(family) else 0
-            same = sum(x.tag == node.tag for x in family) if len(family) < 50 else len(family) / 2
+            if id(node.parent) not in tags:
+                tags[id(node.parent)] = Counter(x.tag for x in family)
+            same = tags[id(node.parent)][node.tag]
             chars, around = node.chars, node.parent or node
             rows.append(group + own + list(up[0]) + list(up[1]) + [
                 float(node.depth), math.log1p(chars), chars / total, node.links / chars if chars else 0.0,
