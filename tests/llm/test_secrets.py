@@ -58,6 +58,34 @@ def test_key_encodings_are_confirmed_by_their_lengths():
     assert kinds("-----BEGIN PRIVATE KEY-----\nnot a key at all\n-----END PRIVATE KEY-----") == []
 
 
+def test_every_key_of_a_run_is_found():
+    digest = "0123456789abcdef" * 4
+    found = lambda t: [t[a:b] for a, b, k in S.scan(t) if k == "key"]
+    hexed = PKCS1.hex()
+    assert found(f"{digest}-{hexed}") == [hexed] and found(f"{digest}-{hexed}-{PKCS8.hex()}") == [hexed, PKCS8.hex()]
+    for key in (PKCS1, PKCS8, OPENSSH):
+        run = b64(key)
+        for text in (f"path/{run}", f"prefix_{run}", f"some-longer-name/with_parts+{run} end"):
+            assert found(text) == [run]
+            assert run.rstrip("=") not in S.redact(text)
+    for key in (PKCS1, PKCS8):
+        run = b64(key).rstrip("=")
+        assert found(f"{run}-suffix") == [run] and found(f"a/{run}/b_{run}-c") == [run, run]
+    assert found("path/" + b64(PUBLIC)) == [] and found("path/" + b64(PKCS8[:-1])) == []
+    assert found("path/" + b64(PKCS8 + b"\0")) == []
+    armoured = f"-----BEGIN PRIVATE KEY-----\n{b64(PKCS8)}\n-----END PRIVATE KEY-----\n"
+    assert found("x/" + b64(armoured.encode())) == [b64(armoured.encode())]
+
+
+def test_armour_with_escaped_line_ends():
+    run = b64(PKCS8)
+    lines = [run[i:i + 64] for i in range(0, len(run), 64)]
+    pem = "\n".join(["-----BEGIN PRIVATE KEY-----", *lines, "-----END PRIVATE KEY-----", ""])
+    for text in (json.dumps({"private_key": pem}), json.dumps(json.dumps({"k": pem.replace("\n", "\r\n")})),
+                 json.dumps(pem).replace("/", "\\/")):
+        assert kinds(text) == ["pem"] and lines[1] not in S.redact(text)
+
+
 def test_signed_tokens_need_a_header():
     part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
     good = f"{part({'alg': 'HS256', 'typ': 'JWT'})}.{part({'sub': 1})}.c2lnbmF0dXJl"

@@ -6,8 +6,11 @@ hex are decoded and must be a whole private-key encoding, whose nested
 lengths fill the bytes exactly; a signed token's first part must decode to a
 JSON header that names its algorithm.
 
-* ``pem``  an armoured block whose body is a private key (DER or OpenSSH)
-* ``key``  a bare base64 or hex run that is such a key, or decodes to an armoured one
+* ``pem``  an armoured block whose body is a private key (DER or OpenSSH); its line
+  ends may be escaped, as in JSON
+* ``key``  a bare base64 or hex run that is such a key, or decodes to an armoured one;
+  in a base64 run also every part behind one of ``/ - _ +``, up to the run's end or,
+  for DER, to the end that its length tells, and every hex run
 * ``token``  header.payload.signature with a decodable header
 
 Defined results: null text is the empty text; an empty text has no spans and
@@ -44,6 +47,9 @@ HEX_RE = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 PEM_RE = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(.*?)-----END \1-----", re.S)
 B64_RE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 HEX_KEY_RE = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}")
+#: Beginnings of encoded keys behind a separator: DER sequence, OpenSSH, armour.
+PART_RE = re.compile(r"(?<=[/+_-])(?:M[A-P]|b3BlbnNzaC1rZXkt|LS0tLS1CRUdJTi)")
+ESCAPED_END_RE = re.compile(r"\\+[rn]")
 #: A JSON object's first byte makes the first base64 character an e.
 TOKEN_RE = re.compile(r"(?<![A-Za-z0-9_-])(e[A-Za-z0-9_-]{11,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 
@@ -118,6 +124,7 @@ def unbase64(run: str) -> bytes:
 
 
 def is_pem(body: str) -> bool:
+    body = ESCAPED_END_RE.sub("\n", body).replace("\\/", "/")
     lines = [x.strip() for x in body.splitlines()]
     data = unbase64("".join(x for x in lines if ":" not in x))
     return is_der_key(data) or is_openssh_key(data)
@@ -151,15 +158,48 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def part_end(text: str, start: int, end: int) -> int | None:
+    """The end of the key that begins at ``start`` inside the base64 run that
+    ends at ``end`` (padding included), or None."""
+    digits = end - (text[start:end].endswith("=") + text[start:end].endswith("=="))
+    if text[start] != "M":  # no length over all: up to the run's end
+        whole = digits - (digits - start) % 4 if (digits - start) % 4 == 1 else digits
+        return end if is_key(unbase64(text[start:whole])) else None
+    head = unbase64(text[start:min(start + 8, digits)])
+    if len(head) < 6:
+        return None
+    more = head[1] & 0x7F if head[1] & 0x80 else 0
+    if head[1] == 0x80 or more > 4:
+        return None
+    size = 2 + more + (int.from_bytes(head[2:2 + more], "big") if more else head[1])
+    stop = start + -(-size * 4 // 3)
+    if stop > digits or stop < digits and text[stop] not in "/-_+":
+        return None
+    return (end if stop == digits else stop) if is_key(unbase64(text[start:stop])) else None
+
+
+def run_spans(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
+    """The keys of one base64 run: the whole, else its hex runs and the
+    parts behind separators."""
+    if is_key(unbase64(text[start:end])):
+        return [(start, end, "key")]
+    out = [(h.start(), h.end(), "key") for h in HEX_KEY_RE.finditer(text, start, end)
+           if is_key(bytes.fromhex(h[0][:len(h[0]) & ~1]))]
+    starts = [start] if text[start] == "M" else []
+    last = start
+    for at in starts + [m.start() for m in PART_RE.finditer(text, start, end)]:
+        if at >= last and (stop := part_end(text, at, end)):
+            out.append((at, stop, "key"))
+            last = stop
+    return out
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     out = []
     if "-----BEGIN " in text:
         out += [(m.start(), m.end(), "pem") for m in PEM_RE.finditer(text) if is_pem(m[2])]
     for m in B64_RE.finditer(text):
-        if is_key(unbase64(m[0])):
-            out.append((m.start(), m.end(), "key"))
-        elif (h := HEX_KEY_RE.search(text, m.start(), m.end())) and is_key(bytes.fromhex(h[0][:len(h[0]) & ~1])):
-            out.append((h.start(), h.end(), "key"))
+        out += run_spans(text, m.start(), m.end())
     if "." in text:
         out += [(m.start(), m.end(), "token") for m in TOKEN_RE.finditer(text) if is_token(m[1])]
     return out
