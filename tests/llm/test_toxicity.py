@@ -47,6 +47,19 @@ def test_restored_spellings(model):
     assert "idiot" in T.restored_words("you i d i o t there", T.Tokens(model))
 
 
+def test_partly_separated_and_short_spellings(model):
+    for seen, meant in {"stu-pid": "stupid", "st.u.pid": "stupid", "mo_ron": "moron", "id/iot": "idiot", "lo~ser,": "loser",
+                        "st.up1d": "stupid", "2024-01-05": "2024-01-05", "3.14": "3.14"}.items():
+        assert T.restore(seen, model) == meant
+    for text, word in {"you stu pid one": "stupid", "a mo ron here": "moron", "the st up id thing": "stupid",
+                       "you id 10t there": "idiot", "moron/idiot": "idiot", "so stu-pid!": "stupid"}.items():
+        assert word in T.restored_words(text, T.Tokens(model))
+    counts = np.zeros(T.CELLS, dtype=np.int64)
+    T.count_into(counts, "what shit you ass " * 1000)
+    abuse = T.CharModel(counts)
+    assert T.restore("5h!7", abuse) == "shit" and T.restore("a$$", abuse) == "ass" and T.restore("@$$", abuse) == "ass"
+
+
 def test_held_out_accuracy(medium, model):
     docs, labels = medium
     rows = (T.score_documents(docs, labels).join(labels, "doc_id").where("held_out AND toxic IS NOT NULL")

@@ -4,11 +4,13 @@
    symbol for all other letters, accents folded) is counted over all
    documents: each task sums into one array of 28^4 cells and passes on the
    cells it filled, Spark adds them, and the driver gets at most 28^4 counts.
-2. Tokens that look obfuscated become a character lattice: digits and signs
-   may stand for letters, an asterisk for any vowel, a letter three or more
-   times for one or two, separators between single characters for nothing or
-   a word boundary.  Viterbi decoding under the language model picks the
-   restored spelling.  Other tokens have one path and stay.
+2. Tokens of other than plain letters become a character lattice: digits and
+   signs may stand for letters, an asterisk for any vowel, a letter three or
+   more times for one or two, separators for nothing or a word boundary.
+   Viterbi decoding under the language model picks the restored spelling.
+   Words and bare numbers have one path and stay; the parts of a token between separators are
+   decoded besides, as are neighbours of at most ``SHORT`` characters, each
+   two and three in a row read as one split word.
 3. A logistic model over the words of the restored text and their prefixes
    gives the score.
 
@@ -46,6 +48,7 @@ BUCKETS = 1 << 20
 LEVELS = 4
 PREFIXES = (3, 4, 5, 6, 7)
 CACHED_TOKENS = 150_000
+SHORT = 4
 THRESHOLD = 0.7
 
 #: What digits and signs stand for.
@@ -58,6 +61,7 @@ TAIL_RE = re.compile(r"(?:!+|\*+|([$|+])\1\1+)$")
 RUN_RE = re.compile(r"(.)\1\1")
 SPACED_RE = re.compile(r"^\w(?:[.\-_*~/]+[\w@$!|+]){2,}$")
 PART_RE = re.compile(r"[^\W_]+")
+SEPARATED_RE = re.compile(r"[.\-_*~/\s]+")
 
 
 def _symbol_table() -> np.ndarray:
@@ -194,17 +198,36 @@ def restore(token: str, model: CharModel) -> str:
         return core
     if SPACED_RE.match(core):
         return viterbi(lattice(core, spaced=True), model)
-    if sum(c.isalpha() for c in core) >= 2 and (RUN_RE.search(core) or any(c in LEET or c == "*" for c in core)):
+    if any(c.isalpha() for c in core) or sum(c in LEET and not c.isdigit() for c in core) >= 2:
         return viterbi(lattice(core, spaced=False), model)
     return core
 
 
+def readings(token: str, model: CharModel) -> list[str]:
+    """The words of the restored token, then those of its parts."""
+    words = PART_RE.findall(restore(token, model))
+    parts = [x for x in SEPARATED_RE.split(token) if x]
+    if len(parts) > 1:
+        words += [w for x in parts for w in PART_RE.findall(restore(x, model))]
+    return list(dict.fromkeys(words))
+
+
 def restored_words(text: str, known: Tokens) -> set[str]:
-    """Distinct restored words that ``known`` returns for the tokens.  Three
-    or more single characters in a row are decoded as one spaced-out stretch
-    besides."""
+    """Distinct restored words that ``known`` returns for the tokens.  Short
+    neighbours are decoded as one split word besides, and three or more single
+    characters in a row as one spaced-out stretch."""
     tokens = text.split()
     out = set().union(*map(known.__getitem__, set(tokens))) if tokens else set()
+    split, a, b = set(), "", ""
+    for c in tokens:
+        if len(c) > SHORT:
+            c = ""
+        elif b and len(b) + len(c) > 2:
+            split.add(f"{b} {c}")
+            if a:
+                split.add(f"{a} {b} {c}")
+        a, b = b, c
+    out.update(*map(known.split.__getitem__, split))
     single = [i for i, t in enumerate(tokens) if len(t) == 1]
     i = 0
     while i < len(single):
@@ -218,12 +241,29 @@ def restored_words(text: str, known: Tokens) -> set[str]:
     return out
 
 
+class Splits(dict):
+    """Neighbours -> the word that they are, if they read as one; emptied
+    when full."""
+
+    def __init__(self, tokens: Tokens):
+        super().__init__()
+        self.tokens = tokens
+
+    def __missing__(self, key):
+        if len(self) >= CACHED_TOKENS:
+            self.clear()
+        letters = all(any(c.isalpha() or c in LEET for c in x) for x in key.split(" "))
+        words = PART_RE.findall(restore(key, self.tokens.model)) if letters else ()
+        words = self[key] = self.tokens.chosen(words) if len(words) == 1 else ()
+        return words
+
+
 class Tokens(dict):
     """token -> its restored words; emptied when full."""
 
     def __init__(self, model: CharModel):
         super().__init__()
-        self.model = model
+        self.model, self.split = model, Splits(self)
 
     def chosen(self, words):
         return tuple(words)
@@ -231,7 +271,7 @@ class Tokens(dict):
     def __missing__(self, token):
         if len(self) >= CACHED_TOKENS:
             self.clear()
-        words = self[token] = self.chosen(PART_RE.findall(restore(token, self.model)))
+        words = self[token] = self.chosen(readings(token, self.model))
         return words
 
 
