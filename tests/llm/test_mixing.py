@@ -33,6 +33,21 @@ def test_sample_follows_given_targets(spark, docs):
         assert abs(got[r["lang"]] / total - r["share"]) < 0.06
 
 
+def test_one_stray_row_hardly_changes_what_is_kept(spark):
+    source = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 19))
+    lang = F.element_at(F.array(*map(F.lit, ["en", "de", "fr", "es"])), (F.col("id") % 7 % 4 + 1).cast("int"))
+    many = spark.range(10_000).select(F.col("id").alias("doc_id"), source.alias("source"), lang.alias("lang"),
+                                      F.lit("some plain words of a text").alias("text"))
+    stray = spark.createDataFrame([(-1, "new", None, "some plain words of a text")],
+                                  "doc_id long, source string, lang string, text string")
+    runs = [{r["doc_id"]: r for r in M.mix_report(d).collect()} for d in (many, many.unionByName(stray))]
+    for rows in runs:
+        expected = sum(r["n_tokens"] * r["probability"] for r in rows.values())
+        assert abs(expected / sum(r["n_tokens"] for r in rows.values()) - M.RATE) < 1e-4
+    assert runs[1][-1]["probability"] == 1.0
+    assert max(abs(r["probability"] - runs[1][i]["probability"]) for i, r in runs[0].items()) < 0.01
+
+
 def test_decisions_do_not_depend_on_partitions(docs):
     a = M.sample_documents(docs.repartition(7)).select("doc_id").collect()
     b = M.sample_documents(docs.coalesce(1)).select("doc_id").collect()

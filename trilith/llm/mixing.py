@@ -7,9 +7,12 @@ meet the targets of each source, then of each language, then of each topic,
 until all three hold to ``TOLERANCE``.  Targets that contradict each other or
 the empty cells have no exact solution: sweeps then end when the greatest miss
 falls by less than a thousandth (or after ``ROUNDS``), and the last is taken.  A document of a cell is sampled with probability
-weight per token over the greatest weight per token, so the expected tokens
-of the sample have the raked proportions and no probability exceeds 1.  The
-decision compares the probability with a hash of the id: it is repeatable and
+level * weight per token, at most 1; the level is such that the expected
+tokens of the sample are ``RATE`` of all tokens.  So a rare cell of great
+weight per token is kept whole and scales no other cell down; cells below 1
+have the raked proportions among themselves.  With ``rate=None`` the greatest
+weight per token has probability 1 and all cells are raked proportions, but
+one stray document may then set the scale.  The decision compares the probability with a hash of the id: it is repeatable and
 does not depend on partitioning.
 
 Default targets temper the observed shares: share^``ALPHA``, normalised.
@@ -34,6 +37,7 @@ from .common import stored, unit_hash
 from .quality import GAP
 
 ALPHA, TOLERANCE, ROUNDS, STALLED = 0.85, 1e-9, 100, 0.999
+RATE = 0.5
 DIMENSIONS = ("source", "lang", "topic")
 NONE = "(none)"
 #: Topic rules in order: name and pattern.
@@ -102,15 +106,32 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
     return cells
 
 
-def calibrated(marked: DataFrame, targets: dict[str, DataFrame] | None = None, alpha: float = ALPHA) -> DataFrame:
+def _level(cells: DataFrame, rate: float) -> float:
+    """The level at which min(tokens, level * weight) sums to ``rate`` of all
+    tokens; it rises as cells fill up, and ends when no further one does."""
+    level, whole = 0.0, cells.agg(F.sum("tokens")).first()[0] or 0.0
+    while True:
+        full = F.lit(level) * F.col("weight") >= F.col("tokens")
+        kept, rest = cells.where("tokens > 0 AND weight > 0").agg(
+            F.sum(F.when(full, F.col("tokens")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
+        if not rest or (rate * whole - kept) / rest <= level * (1 + 1e-12):
+            return level
+        level = (rate * whole - kept) / rest
+
+
+def calibrated(marked: DataFrame, targets: dict[str, DataFrame] | None = None, alpha: float = ALPHA,
+               rate: float | None = RATE) -> DataFrame:
     """``marked`` (of ``with_cells``) with weight (raked share of the cell),
     probability and sampled."""
     cells = stored(marked.groupBy(*DIMENSIONS).agg(F.sum("_tokens").alias("tokens")), "cells")
     targets = {d: (targets or {}).get(d) or tempered(cells, d, alpha) for d in DIMENSIONS}
     cells = rake(cells, targets)
-    rate = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
-    top = cells.agg(F.max(rate)).first()[0] or 1.0
-    rates = cells.select(*DIMENSIONS, "weight", (rate / F.lit(top)).alias("probability"))
+    each = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
+    if rate is None:
+        probability = each / F.lit(cells.agg(F.max(each)).first()[0] or 1.0)
+    else:
+        probability = F.least(F.lit(1.0), each * F.lit(_level(cells, rate)))
+    rates = cells.select(*DIMENSIONS, "weight", probability.alias("probability"))
     return marked.join(rates, [*DIMENSIONS]).withColumn("sampled", F.col("_u") < F.col("probability"))
 
 
