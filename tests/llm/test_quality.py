@@ -45,6 +45,19 @@ def test_lines_shared_by_many_documents_go(spark):
         assert r["kept"] == (not 100 <= i < 200) and not r["base_failed"]
 
 
+def test_cleaned_texts_lack_the_removed_lines(spark):
+    rows = [(i, f"Same  note HERE\n\nown{i} word\nsame note here", "h") for i in range(30)]
+    rows += [(50 + i, f"rare line\nmine{i}", "h") for i in range(11)] + [(70, None, None), (71, "Same note here", "other")]
+    rows += [(100 + i, f"filler{i}", "h") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in Q.clean_texts(df).collect()}
+    assert len(got) == len(rows) and got[3] == "\nown3 word" and got[50] == "rare line\nmine0"
+    assert got[70] is None and got[71] == "Same note here"
+    words = {r["doc_id"]: r["n_words"] - r["removed_words"] for r in Q.quality(df).collect()}
+    assert words == {i: len(WORD.findall(t or "")) for i, t in got.items()}
+    assert {r["doc_id"]: r["text"] for r in Q.clean_texts(df, share=0.0).collect()}[50] == "mine0"
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = Q.quality(odd_docs).collect()
     assert len(rows) == len(ODD)

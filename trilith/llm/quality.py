@@ -61,28 +61,30 @@ def _with_repeats(d: DataFrame) -> DataFrame:
     return d.withColumn("n_repeat_words", F.when(F.col("_twice"), covered).otherwise(0).cast("long"))
 
 
+def _line(x: Column) -> Column:
+    """The normalised line."""
+    return F.lower(F.trim(F.regexp_replace(x, GAP, " ")))
+
+
 def base_rules(docs: DataFrame, host: str = "source") -> DataFrame:
     """Per row: doc_id, base measures, and for the method the host, a key of
     the text and the hashed lines with their words."""
     d = docs.select("doc_id", F.col(host).alias("host"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.withColumn("_w", _words(F.col("text"))).withColumn(
         "_l", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    line = lambda x: F.lower(F.trim(F.regexp_replace(x, GAP, " ")))
     return _with_repeats(d).select(
         "doc_id", "host", F.xxhash64("text").alias("key"), F.length("text").alias("chars"),
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.regexp_replace("text", GAP, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
-        F.transform("_l", lambda x: F.struct(F.xxhash64(line(x)).alias("line"),
+        F.transform("_l", lambda x: F.struct(F.xxhash64(_line(x)).alias("line"),
                                              F.size(_words(x)).cast("long").alias("words"))).alias("lines"))
 
 
-def quality(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE,
-            min_left: float = MIN_LEFT) -> DataFrame:
-    """doc_id, the base measures, base_failed, removed_words, kept: one row
-    per input row."""
-    base = stored(base_rules(docs, host), "quality")
+def _removed(base: DataFrame, min_docs: int, share: float) -> DataFrame:
+    """Per host and text (``_host``, ``_key``, ``_chars``) with lines above
+    the limit: removed_words and the removed lines' hashes."""
     text = ["host", "key", "chars"]
     held = base.select(*text, F.inline("lines")).select(*text, "line").distinct()
     sizes = base.select(*text).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
@@ -91,12 +93,35 @@ def quality(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, sha
              .where(F.col("n") > share * F.col("docs")).select(F.col("host").alias("_host"),
                                                                 F.col("line").alias("_line")))
     per_text = base.select(*text, "lines").dropDuplicates(text).select(*text, F.inline("lines"))
-    removed = (per_text.join(often, F.col("host").eqNullSafe(F.col("_host")) & (F.col("line") == F.col("_line")))
-               .groupBy(*text).agg(F.sum("words").alias("removed_words"))
-               .select(*[F.col(c).alias("_" + c) for c in text], "removed_words"))
-    same = (F.col("host").eqNullSafe(F.col("_host")) & (F.col("key") == F.col("_key"))
+    return (per_text.join(often, F.col("host").eqNullSafe(F.col("_host")) & (F.col("line") == F.col("_line")))
+            .groupBy(*text).agg(F.sum("words").alias("removed_words"), F.collect_set("line").alias("removed_lines"))
+            .select(*[F.col(c).alias("_" + c) for c in text], "removed_words", "removed_lines"))
+
+
+def _same() -> Column:
+    return (F.col("host").eqNullSafe(F.col("_host")) & (F.col("key") == F.col("_key"))
             & (F.col("chars") == F.col("_chars")))
-    rows = base.drop("lines").join(removed, same, "left").withColumn(
+
+
+def clean_texts(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+    """doc_id, host, text without the removed lines: one row per input row.
+    ``share=0`` makes the limit ``min_docs`` on hosts of any size."""
+    removed = stored(_removed(stored(base_rules(docs, host), "quality"), min_docs, share), "removed")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", F.col(host).alias("host"), "text", F.xxhash64(text).alias("key"),
+                       F.length(text).alias("chars")).join(removed, _same(), "left")
+    left = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("removed_lines", F.xxhash64(_line(x))))
+    return rows.select("doc_id", "host", F.when(F.col("removed_lines").isNull(), F.col("text")).otherwise(
+        F.array_join(left, "\n")).alias("text"))
+
+
+def quality(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE,
+            min_left: float = MIN_LEFT) -> DataFrame:
+    """doc_id, the base measures, base_failed, removed_words, kept: one row
+    per input row."""
+    base = stored(base_rules(docs, host), "quality")
+    removed = _removed(base, min_docs, share).drop("removed_lines")
+    rows = base.drop("lines").join(removed, _same(), "left").withColumn(
         "removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
