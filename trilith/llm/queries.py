@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import bpe, chat, fingerprints, html_extract, mixing, near_dups, quality, secrets, toxicity, warc
+from . import (bpe, chat, fingerprints, html_extract, merkle, mixing, near_dups, quality, resample, secrets, token_store,
+               toxicity, warc)
 from .common import fresh_path
 
 QUERIES: dict = {}
@@ -176,3 +178,101 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(read_table(spark, sf_dir, "documents"), width=4, percent=80).select(
         "doc_id", "n_shingles", "component_id", "kept", "class_id")
+
+
+# CRC-32 as a reduction over the bytes of a string, with its table of 256.
+CRC_SQL = r"""
+crc_table AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
+    lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))) AS t),
+{name} AS (SELECT {keep}, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(strlen(s)),
+    lambda i: CAST('0x' || substr(hx, 2 * i + 1, 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]))) AS crc
+  FROM (SELECT *, hex(encode(s)) AS hx FROM {source}), crc_table)"""
+
+
+def _sql_field(value: str) -> str:
+    return f"coalesce(strlen({value}) || ':' || {value}, '-')"
+
+
+MERKLE_SQL = r"""
+WITH RECURSIVE keyed AS (SELECT *, CAST(doc_id AS VARCHAR) AS s FROM documents),""" + CRC_SQL.format(
+    name="c", keep="*", source="keyed") + r""",
+f AS (SELECT doc_id, source, {id} || {source} || {lang} || {n_chars} AS head, text,
+    CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS other FROM c),
+leaf AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY source) AS n, row_number() OVER () AS r
+  FROM (SELECT doc_id, source, sha256(head || {text}) AS leaf, sha256(head || {other}) AS tampered FROM f)),
+up AS (SELECT 0 AS lvl, source, pos AS idx, leaf AS h, n FROM leaf UNION ALL
+  SELECT lvl + 1, source, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 2) // 3
+  FROM up WHERE n > 1 GROUP BY lvl, source, idx // 3),
+sub AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n
+  FROM up WHERE n = 1),
+top AS (SELECT 0 AS lvl, pos AS idx, subroot AS h, n FROM sub UNION ALL
+  SELECT lvl + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 2) // 3
+  FROM top WHERE n > 1 GROUP BY lvl, idx // 3),
+sib AS (SELECT source, false AS over, lvl, idx, coalesce(string_agg(h, '') OVER (a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(h, '') OVER (a ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM up WHERE n > 1 WINDOW a AS (PARTITION BY source, lvl, idx // 3 ORDER BY idx)
+  UNION ALL SELECT NULL, true, lvl, idx, coalesce(string_agg(h, '') OVER (a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''),
+    coalesce(string_agg(h, '') OVER (a ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '')
+  FROM top WHERE n > 1 WINDOW a AS (PARTITION BY lvl, idx // 3 ORDER BY idx)),
+inner_fold AS (SELECT r, source, 0 AS lvl, pos AS idx, tampered AS h, '' AS p FROM leaf UNION ALL
+  SELECT f.r, f.source, f.lvl + 1, f.idx // 3, sha256(s.l || h || s.r), p || s.l || s.r FROM inner_fold f
+  JOIN sib s ON NOT s.over AND f.source IS NOT DISTINCT FROM s.source AND f.lvl = s.lvl AND f.idx = s.idx),
+outer_fold AS (SELECT x.r, 0 AS lvl, sub.pos AS idx, x.h, x.p FROM (
+    SELECT r, any_value(source) AS source, arg_max(h, lvl) AS h, arg_max(p, lvl) AS p FROM inner_fold GROUP BY r) x
+  JOIN sub ON x.source IS NOT DISTINCT FROM sub.source UNION ALL
+  SELECT f.r, f.lvl + 1, f.idx // 3, sha256(s.l || h || s.r), p || s.l || s.r FROM outer_fold f
+  JOIN sib s ON s.over AND f.lvl = s.lvl AND f.idx = s.idx),
+done AS (SELECT r, arg_max(h, lvl) AS folded_root, sha256(arg_max(p, lvl)) AS proof_sha256 FROM outer_fold GROUP BY r),
+root AS (SELECT h AS root FROM top WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+FROM leaf JOIN done USING (r) JOIN sub ON leaf.source IS NOT DISTINCT FROM sub.source, root""".format(
+    id=_sql_field("CAST(doc_id AS VARCHAR)"), source=_sql_field("source"), lang=_sql_field("lang"),
+    n_chars=_sql_field("CAST(n_chars AS VARCHAR)"), text=_sql_field("text"), other=_sql_field("other"))
+
+
+@register("op11_merkle_manifest", MERKLE_SQL)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(read_table(spark, sf_dir, "documents"))
+
+
+# Every feature as text, its CRC once per distinct feature.
+RESAMPLE_SQL = r"""
+WITH w AS (
+  SELECT true AS raw, row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL SELECT false, row_number() OVER (), NULL, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+f AS (SELECT raw, r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS s FROM w),
+g AS (SELECT raw, r, s, count(*) AS n FROM f GROUP BY ALL),
+u AS (SELECT DISTINCT s FROM g),""" + CRC_SQL.format(name="c", keep="s", source="u") + r""",
+b AS (SELECT raw, r, crc % 10000 AS bucket, sum(n) AS n FROM g JOIN c USING (s) GROUP BY ALL),
+tot AS (SELECT bucket, CAST(coalesce(sum(n) FILTER (raw), 0) AS DOUBLE) AS s,
+    CAST(coalesce(sum(n) FILTER (NOT raw), 0) AS DOUBLE) AS t FROM b GROUP BY bucket),
+whole AS (SELECT coalesce(sum(s), 0) AS s_all, coalesce(sum(t), 0) AS t_all FROM tot),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000)))) AS BIGINT) AS gain
+  FROM tot, whole),
+d AS (SELECT r, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS total
+  FROM b JOIN gain USING (bucket) WHERE raw GROUP BY r),
+x AS (SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features,
+    coalesce(CAST((total - ((total % n_features) + n_features) % n_features) AS BIGINT) // n_features, 0) AS weight,
+    CAST(('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) AS h
+  FROM w LEFT JOIN d USING (r) WHERE raw),
+y AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM x),
+z AS (SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20
+    ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) END AS place,
+    count(*) FILTER (n_words >= 20) OVER () * 25 // 100 AS k FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= k THEN place END AS rank, n_words FROM z"""
+
+
+@register("op12_importance_resampling", RESAMPLE_SQL)
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@register("op13_token_store")
+def op13_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "tokens")
+    token_store.write_store(read_table(spark, sf_dir, "documents"), path, tokenizer_path())
+    return token_store.read_store(spark, path).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
