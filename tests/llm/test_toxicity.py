@@ -1,3 +1,4 @@
+import itertools
 import zlib
 
 import numpy as np
@@ -98,3 +99,85 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert {r["score"] for r in none} == {0.0}
     assert T.drop_toxic(odd_docs, labels.limit(0)).schema == odd_docs.schema
     assert T.drop_toxic(odd_docs, labels.limit(0)).count() == len(ODD)
+
+
+def spelled_score(text, cost, model):
+    s, total = (0, 0, 0), cost
+    for ch in text + " ":
+        x = T.symbol(ch)
+        if x or s[2]:
+            total += float(model.log[s[0], s[1], s[2], x])
+        s = (s[1], s[2], x) if x else (0, 0, 0)
+    return total
+
+
+def test_the_decoder_finds_the_best_of_all_paths(model):
+    rng = np.random.default_rng(3)
+    alphabet = list("iadots0135@$!*.-_ eé")
+    for _ in range(300):
+        token = "".join(rng.choice(alphabet, rng.integers(1, 7))).strip() or "a"
+        for spaced in (False, True):
+            paths = T.lattice(token, spaced)
+            every = [("".join(t for t, _ in p), sum(c for _, c in p)) for p in itertools.product(*paths)]
+            best = max(spelled_score(t, c, model) for t, c in every)
+            got = T.viterbi(paths, model)
+            assert max(spelled_score(t, c, model) for t, c in every if t.strip() == got) == pytest.approx(best, abs=1e-4)
+
+
+def test_split_words_are_read_as_the_lattice_reads_them(model):
+    rng = np.random.default_rng(4)
+    pieces = "stu pid id iot mo ron the of a to, it's in l0 ser ooo re st* é nä! 10t 7 o. x".split()
+    tokens = T.Tokens(model)
+    weights = {zlib.crc32(w.encode()) % (T.BUCKETS // T.LEVELS) * T.LEVELS: 1.0
+               for w in ("=stupid", "^idi", "^moro", "=loser", "=theof")}
+    evidence = T.Evidence(model, weights, 0.0)
+    for _ in range(1500):
+        key = " ".join(rng.choice(pieces, rng.integers(2, 4)))
+        words = T.PART_RE.findall(T.restore(key, model))
+        letters = all(any(c.isalpha() or c in T.LEET for c in x) for x in key.split(" "))
+        want = tuple(words) if letters and len(words) == 1 else ()
+        assert tokens.split[key] == want, key
+        assert evidence.split[key] == evidence.chosen(want), key
+
+
+def test_weighted_words_are_those_with_a_feature(model):
+    words = ["stupid", "stu", "st", "moronic", "moro", "éclair", "é", "", "idiotically", "日本語の文"]
+    table = T.Features()
+    ids = sorted({k for w in words[::2] for k in table[w]})[::3]
+    e = T.Evidence(model, dict.fromkeys(ids, 1.0), 0.0)
+    for w in [*words, "other", "morons", "éclat"]:
+        assert e.weighted(w) == any(k in e.based for k in table[w])
+
+
+def test_the_fit_meets_the_condition_of_the_optimum():
+    """At the minimum of the balanced, regularised loss the gradient is zero;
+    a Newton solver of the same loss gives the same weights."""
+    rng = np.random.default_rng(1)
+    n, d = 3000, 6
+    x = rng.random((n, d)) < np.linspace(0.2, 0.7, d)
+    y = (rng.random(n) < 1 / (1 + np.exp(-(x @ np.array([3, -3, 2.5, -2.5, 3, -3]) + 0.5)))).astype(float)
+    flat, sizes = np.nonzero(x)[1] * T.LEVELS, x.sum(axis=1)
+    w, bias = T.fit(flat, sizes, y, np.array([1.0, 1.0]), rounds=4000)
+    cols = [k // T.LEVELS for k in sorted(w)]
+    a = np.column_stack([x[:, cols].astype(float), np.ones(n)])
+    rate = np.where(y == 1, 0.5 / y.sum(), 0.5 / (n - y.sum())) * n
+    penalty = np.append(np.full(len(cols), 1e-4), 0.0)
+    v = np.zeros(len(cols) + 1)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-a @ v))
+        grad = a.T @ (rate * (p - y)) / n + penalty * v
+        v -= np.linalg.solve((a.T * (rate * p * (1 - p))) @ a / n + np.diag(penalty), grad)
+    prior = 0.5 * np.log(y.sum() / (n - y.sum()))
+    assert len(cols) >= 4
+    assert np.allclose([w[k] for k in sorted(w)], v[:-1], atol=0.05) and abs(bias - prior - v[-1]) < 0.05
+
+
+def test_rows_are_dropped_where_they_are_scored(spark, medium):
+    docs, labels = medium
+    docs = docs.where("doc_id < 1500")
+    scored = T.score_documents(docs, labels).where("predicted = 0").select("doc_id")
+    kept = T.drop_toxic(docs, labels)
+    assert kept.schema == docs.schema and "Exchange" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted(kept.select("doc_id").collect()) == sorted(scored.collect())
+    few = T.drop_toxic(docs.withColumn("doc_id", F.col("doc_id").cast("int")), labels)
+    assert few.count() == kept.count()

@@ -31,7 +31,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
-from itertools import chain
+from itertools import chain, product
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +47,7 @@ SAMPLE = 3000
 BUCKETS = 1 << 20
 LEVELS = 4
 PREFIXES = (3, 4, 5, 6, 7)
+WORD_CRC, PREFIX_CRC = zlib.crc32(b"="), zlib.crc32(b"^")
 CACHED_TOKENS = 150_000
 SHORT = 4
 THRESHOLD = 0.7
@@ -115,7 +116,8 @@ def _count_batches(batches):
 
 
 class CharModel:
-    """Log probability of a symbol after three: interpolated counts."""
+    """Log probability of a symbol after three: interpolated counts of at
+    most 28^4 cells, whatever the corpus."""
 
     def __init__(self, counts: np.ndarray, weight: float = 5.0):
         n = counts.astype(np.float64).reshape((SYMBOLS,) * ORDER)
@@ -125,6 +127,16 @@ class CharModel:
             p = (part + weight * p) / (part.sum(axis=-1, keepdims=True) + weight)
         self.log = np.log(p).astype(np.float32)
 
+    def score(self, word: str) -> float:
+        """Log probability of a word and the boundary after it."""
+        s, total = (0, 0, 0), 0.0
+        for ch in word + " ":
+            x = symbol(ch)
+            if x or s[2]:
+                total += float(self.log[s[0], s[1], s[2], x])
+            s = (s[1], s[2], x) if x else (0, 0, 0)
+        return total
+
 
 def language_model(docs: DataFrame) -> CharModel:
     cells = docs.select("text").mapInArrow(_count_batches, "code long, n long").groupBy("code").agg(
@@ -241,9 +253,25 @@ def restored_words(text: str, known: Tokens) -> set[str]:
     return out
 
 
+def one_word(segments: list[str], model: CharModel) -> bool:
+    """Whether the language model reads segments of letters rather as one
+    word than as any sequence of several."""
+    best = [0.0]  # of the first j segments, the whole in one word left out
+    for j in range(1, len(segments) + 1):
+        starts = range(0 if j < len(segments) else 1, j)
+        best.append(max((best[i] + model.score("".join(segments[i:j])) for i in starts), default=-np.inf))
+    return model.score("".join(segments)) >= best[-1]
+
+
 class Splits(dict):
     """Neighbours -> the word that they are, if they read as one; emptied
-    when full."""
+    when full.
+
+    The word can only be one of the readings without a boundary, so these are
+    looked up first; without evidence in them there is nothing to decode.
+    Letters have one such reading, and the language model compares the
+    spellings of neighbours of letters without a lattice.
+    """
 
     def __init__(self, tokens: Tokens):
         super().__init__()
@@ -252,11 +280,34 @@ class Splits(dict):
     def __missing__(self, key):
         if len(self) >= CACHED_TOKENS:
             self.clear()
-        letters = all(any(c.isalpha() or c in LEET for c in x) for x in key.split(" "))
-        words = PART_RE.findall(restore(key, self.tokens.model)) if letters else ()
-        words = self[key] = self.tokens.chosen(words) if len(words) == 1 else ()
+        words = self[key] = self.word(key.lower())
         return words
 
+    def word(self, key: str) -> tuple:
+        tokens = self.tokens
+        letters = key.replace(" ", "")
+        if letters.isalpha() and not RUN_RE.search(key) and not tokens.possible((letters,)):
+            return ()  # nearly all neighbours
+        if not all(any(c.isalpha() or c in LEET for c in x) for x in key.split(" ")):
+            return ()
+        core = TAIL_RE.sub("", key.strip(EDGE)).strip(EDGE)
+        segments = PART_RE.findall(core)
+        if "*" not in core and not RUN_RE.search(core) and all(map(str.isalpha, segments)) and LEET.keys().isdisjoint(core):
+            found = tokens.chosen(("".join(segments),))
+            return found if found and one_word(segments, tokens.model) else ()
+        if not tokens.possible(joined_readings(core)):
+            return ()
+        words = PART_RE.findall(restore(core, tokens.model))
+        return tokens.chosen(words) if len(words) == 1 else ()
+
+
+def joined_readings(core: str, most: int = 64) -> list[str] | None:
+    """The readings of a token without a boundary; None: more than ``most``."""
+    options = [[text for text, _ in o if text != " "] for o in lattice(core, spaced=False)]
+    if np.prod([float(len(o)) for o in options]) > most:
+        return None
+    return ["".join(x) for x in product(*options)]
+
 
 class Tokens(dict):
     """token -> its restored words; emptied when full."""
@@ -268,6 +319,9 @@ class Tokens(dict):
     def chosen(self, words):
         return tuple(words)
 
+    def possible(self, readings) -> bool:
+        return True
+
     def __missing__(self, token):
         if len(self) >= CACHED_TOKENS:
             self.clear()
@@ -294,17 +348,39 @@ class Evidence(Tokens):
         super().__init__(model)
         self.weights, self.bias = weights, bias
         self.based = {k - k % LEVELS for k in weights}
+        self.cells = {k // LEVELS for k in weights}
         self.table, self.hits = Features(), {}
 
+    def weighted(self, word: str) -> bool:
+        """Whether a feature of ``word`` has weight: as ``Features`` names
+        them, with the CRC of a prefix carried on to the next one."""
+        cells, crc = self.cells, zlib.crc32
+        if crc(word.encode(), WORD_CRC) % (BUCKETS // LEVELS) in cells:
+            return True
+        shortest = PREFIXES[0]
+        if len(word) < shortest:
+            return False
+        c = crc(word[:shortest].encode(), PREFIX_CRC)
+        if c % (BUCKETS // LEVELS) in cells:
+            return True
+        for ch in word[shortest:PREFIXES[-1]]:
+            c = crc(ch.encode(), c)
+            if c % (BUCKETS // LEVELS) in cells:
+                return True
+        return False
+
     def chosen(self, words):
         out = []
         for w in words:
-            found = tuple(k for k in self.table[w] if k in self.based)
-            if found:
-                self.hits[w] = found  # words of the vocabulary with weight: few
+            if self.weighted(w):
+                self.hits[w] = tuple(k for k in self.table[w] if k in self.based)  # few words have weight
                 out.append(w)
         return tuple(out)
 
+    def possible(self, readings) -> bool:
+        """Whether one of ``readings`` may have a weighted feature."""
+        return readings is None or any(map(self.weighted, readings))
+
     def log_odds(self, text: str) -> float:
         found = Counter(chain.from_iterable(map(self.hits.__getitem__, restored_words(text, self))))
         return self.bias + sum(self.weights.get(k + i, 0.0) for k, n in sorted(found.items())
@@ -360,9 +436,9 @@ def _held_out(doc_id):
 def train(docs: DataFrame, labels: DataFrame, model: CharModel, sample: int = SAMPLE):
     """(weights, intercept), or None without rows of both classes."""
     spark = docs.sparkSession
-    usable = (labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    usable = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
               .where("doc_id IS NOT NULL AND toxic IN (0, 1)").distinct().where(~_held_out(F.col("doc_id"))))
-    texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     usable = texts.select("doc_id").distinct().join(usable, "doc_id")
     total = _shares(usable)
     if len(total) < 2:
@@ -383,7 +459,8 @@ def train(docs: DataFrame, labels: DataFrame, model: CharModel, sample: int = SA
                     names=["ids", "toxic", "doc_id"])
 
     rows = (texts.join(F.broadcast(picked), "doc_id").select("text", "toxic", "doc_id").dropDuplicates()
-            .mapInArrow(run, "ids array<int>, toxic int, doc_id long").orderBy("doc_id", "toxic").toArrow())
+            .mapInArrow(run, "ids array<int>, toxic int, doc_id long").toArrow())
+    rows = rows.sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
     if not rows.num_rows:
         return None
     ids = rows.column("ids").combine_chunks()
@@ -392,26 +469,33 @@ def train(docs: DataFrame, labels: DataFrame, model: CharModel, sample: int = SA
     return fit(ids.flatten().to_numpy(), sizes, y, np.array([min(1.0, sample / total[k]) for k in (0, 1)]))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE,
-                    threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted, text_md5: one row per input row."""
+def _evidence(docs: DataFrame, labels: DataFrame, sample: int):
+    """Broadcast model and weights, trained on ``docs`` and ``labels``."""
     bounded_batches(docs.sparkSession)
     model = language_model(docs)
     weights, bias = train(docs, labels, model, sample) or ({}, -np.inf)
-    shared = docs.sparkSession.sparkContext.broadcast(Evidence(model, weights, bias))
+    return docs.sparkSession.sparkContext.broadcast(Evidence(model, weights, bias))
+
+
+def _scores(shared, texts: list) -> np.ndarray:
+    evidence = task_state(shared.value, lambda: shared.value)
+    return np.exp(-np.logaddexp(0.0, -np.array([evidence.log_odds(t or "") for t in texts])))
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE,
+                    threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score, predicted, text_md5: one row per input row."""
+    shared = _evidence(docs, labels, sample)
     schema = "doc_id long, score double, text_md5 string"
 
     def run(batches):
-        evidence = task_state(shared.value, lambda: shared.value)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                z = [evidence.log_odds(t) for t in texts]
-                scores = np.exp(-np.logaddexp(0.0, -np.array(z)))
+                texts = part.column("text").to_pylist()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), pa.array(scores),
-                     pa.array([hashlib.md5(t.encode("utf-8")).hexdigest() for t in texts])],
+                    [part.column("doc_id").cast(pa.int64()), pa.array(_scores(shared, texts)),
+                     pa.array([hashlib.md5((t or "").encode("utf-8")).hexdigest() for t in texts])],
                     names=["doc_id", "score", "text_md5"])
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
@@ -419,10 +503,19 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE,
                          (F.col("score") >= threshold).cast("int").alias("predicted"), "text_md5")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows whose text is predicted toxic; all columns
-    are kept, whatever their names.  The decision is joined by the text's
-    md5, so rows without id are judged too."""
-    bad = score_documents(docs, labels).where("predicted = 1").select(F.col("text_md5").alias("_md5")).distinct()
-    rows = docs.select(F.struct("*").alias("_row"), F.md5(F.coalesce("text", F.lit(""))).alias("_key"))
-    return rows.join(bad, F.col("_key") == F.col("_md5"), "left_anti").select("_row.*")
+    are kept, whatever their names.  The task that scores a row drops it, so
+    rows are not moved and rows without id are judged too."""
+    shared = _evidence(docs, labels, sample)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                scores = _scores(shared, part.column(0).field(at).to_pylist())
+                yield part.filter(pa.array(scores < threshold))
+
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.mapInArrow(run, rows.schema).select("row.*")
