@@ -181,3 +181,21 @@ def test_rows_are_dropped_where_they_are_scored(spark, medium):
     assert sorted(kept.select("doc_id").collect()) == sorted(scored.collect())
     few = T.drop_toxic(docs.withColumn("doc_id", F.col("doc_id").cast("int")), labels)
     assert few.count() == kept.count()
+
+
+def test_the_sieve_drops_nothing_that_counts(model, medium):
+    rng = np.random.default_rng(8)
+    weights = {zlib.crc32(w.encode()) % (T.BUCKETS // T.LEVELS) * T.LEVELS: float(i + 1)
+               for i, w in enumerate(["=stupid", "^idi", "^moro", "=été", "^élé", "=2024", "=theof", "^ßaß", "=stu", "=日本"])}
+    evidence, plain = T.Evidence(model, weights, -1.0), T.Evidence(model, weights, -1.0)
+    pieces = ("stu pid stupid STUPID, id iot idiot idiooot mo-ron \"moron.\" été ÉTÉ (élégant) élé gant ßaß ééé été! 2024 2024, "
+              "the of, the.of é×t×é i d i o t a b 日本 日 本 x÷y st*pid l0$er ... -- ( ) !!! 't o' morons' aaa").split()
+    gaps = [" "] * 12 + ["\n", "  ", "\t", "\x1f", "\xa0", "\u3000", "\x85"]
+    texts = ["", " ", "stupid", "\x00 stupid\x00", "x" * 40 + "idiot", "é" * 30]
+    for _ in range(800):
+        n = int(rng.integers(1, 25))
+        texts.append("".join(x + str(y) for x, y in zip(rng.choice(pieces, n), rng.choice(gaps, n))))
+    alphabet = list("stupidmo é-!.,'0($*ß") + [" "] * 5
+    texts += ["".join(rng.choice(alphabet, int(rng.integers(1, 60)))) for _ in range(3000)]
+    texts += [r["text"] or "" for r in medium[0].where("doc_id < 300").select("text").collect()]
+    assert evidence.log_odds_many(texts) == [plain.log_odds(t) for t in texts]

@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, drop_task_state, task_state
+from .sift import WIDE_SPACE, Sieve
 
 SYMBOLS = 28  # 0 boundary, 1 to 26 letters, 27 any other letter
 ORDER = 4
@@ -48,6 +49,7 @@ BUCKETS = 1 << 20
 LEVELS = 4
 PREFIXES = (3, 4, 5, 6, 7)
 WORD_CRC, PREFIX_CRC = zlib.crc32(b"="), zlib.crc32(b"^")
+CHARS = 1_000_000
 CACHED_TOKENS = 150_000
 SHORT = 4
 THRESHOLD = 0.7
@@ -58,6 +60,7 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 VOWELS = "aeiou"
 SEPARATORS = ".-_*~/"
 EDGE = " .,;:?\"'()[]{}<>%&#`^=\\"
+MARKS = dict.fromkeys(map(ord, set(EDGE + SEPARATORS) - {"*", *LEET}))  # read as nothing or as a boundary
 TAIL_RE = re.compile(r"(?:!+|\*+|([$|+])\1\1+)$")
 RUN_RE = re.compile(r"(.)\1\1")
 SPACED_RE = re.compile(r"^\w(?:[.\-_*~/]+[\w@$!|+]){2,}$")
@@ -224,22 +227,25 @@ def readings(token: str, model: CharModel) -> list[str]:
     return list(dict.fromkeys(words))
 
 
-def restored_words(text: str, known: Tokens) -> set[str]:
-    """Distinct restored words that ``known`` returns for the tokens.  Short
-    neighbours are decoded as one split word besides, and three or more single
-    characters in a row as one spaced-out stretch."""
-    tokens = text.split()
-    out = set().union(*map(known.__getitem__, set(tokens))) if tokens else set()
+def neighbours(tokens: list[str]) -> set[str]:
+    """Short neighbours, two and three in a row, as one spaced key each."""
     split, a, b = set(), "", ""
     for c in tokens:
         if len(c) > SHORT:
-            c = ""
-        elif b and len(b) + len(c) > 2:
+            a = b = ""
+            continue
+        if b and len(b) + len(c) > 2:
             split.add(f"{b} {c}")
             if a:
                 split.add(f"{a} {b} {c}")
         a, b = b, c
-    out.update(*map(known.split.__getitem__, split))
+    return split
+
+
+def spaced_words(tokens: list[str], known: Tokens) -> set[str]:
+    """Words of three or more single characters in a row, decoded as one
+    spaced-out stretch."""
+    out: set[str] = set()
     single = [i for i, t in enumerate(tokens) if len(t) == 1]
     i = 0
     while i < len(single):
@@ -253,6 +259,16 @@ def restored_words(text: str, known: Tokens) -> set[str]:
     return out
 
 
+def restored_words(text: str, known: Tokens) -> set[str]:
+    """Distinct restored words that ``known`` returns for the tokens.  Short
+    neighbours are decoded as one split word besides, and single characters
+    in a row as one stretch."""
+    tokens = text.split()
+    out = set().union(*map(known.__getitem__, set(tokens))) if tokens else set()
+    out.update(*map(known.split.__getitem__, neighbours(tokens)))
+    return out | spaced_words(tokens, known)
+
+
 def one_word(segments: list[str], model: CharModel) -> bool:
     """Whether the language model reads segments of letters rather as one
     word than as any sequence of several."""
@@ -349,6 +365,9 @@ class Evidence(Tokens):
         self.weights, self.bias = weights, bias
         self.based = {k - k % LEVELS for k in weights}
         self.cells = {k // LEVELS for k in weights}
+        mask = np.zeros(BUCKETS // LEVELS, dtype=bool)
+        mask[list(self.cells)] = True
+        self.sieve = Sieve(mask, EDGE, map(chr, MARKS), PREFIXES, SHORT)
         self.table, self.hits = Features(), {}
 
     def weighted(self, word: str) -> bool:
@@ -381,11 +400,37 @@ class Evidence(Tokens):
         """Whether one of ``readings`` may have a weighted feature."""
         return readings is None or any(map(self.weighted, readings))
 
-    def log_odds(self, text: str) -> float:
-        found = Counter(chain.from_iterable(map(self.hits.__getitem__, restored_words(text, self))))
+    def _odds(self, words: set[str]) -> float:
+        found = Counter(chain.from_iterable(map(self.hits.__getitem__, words)))
         return self.bias + sum(self.weights.get(k + i, 0.0) for k, n in sorted(found.items())
                                for i in range(min(n, LEVELS)))
 
+    def log_odds(self, text: str) -> float:
+        return self._odds(restored_words(text, self))
+
+    def log_odds_many(self, texts: list[str]) -> list[float]:
+        """``log_odds`` of texts of together ``CHARS`` characters at a time:
+        only tokens and neighbours that the sieve leaves open are looked up."""
+        out, block, size = [], [], 0
+        for i, t in enumerate(texts):
+            block.append(t)
+            size += len(t)
+            if size >= CHARS or i + 1 == len(texts):
+                words: list[set] = [set() for _ in block]
+                wide = {k for k, x in enumerate(block) if not x.isascii() and WIDE_SPACE.search(x)}
+                tokens, split, spaced = self.sieve.open(["" if k in wide else x for k, x in enumerate(block)])
+                for k, token in tokens:
+                    words[k].update(self[token])
+                for k, key in split:
+                    words[k].update(self.split[key])
+                for k in spaced:
+                    words[k].update(spaced_words(block[k].split(), self))
+                for k in wide:
+                    words[k] = restored_words(block[k], self)
+                out += map(self._odds, words)
+                block, size = [], 0
+        return out
+
 
 def features(text: str, tokens: Tokens, table: Features) -> list[int]:
     """Hashed features of a text: level i of a feature is present when more
@@ -479,7 +524,7 @@ def _evidence(docs: DataFrame, labels: DataFrame, sample: int):
 
 def _scores(shared, texts: list) -> np.ndarray:
     evidence = task_state(shared.value, lambda: shared.value)
-    return np.exp(-np.logaddexp(0.0, -np.array([evidence.log_odds(t or "") for t in texts])))
+    return np.exp(-np.logaddexp(0.0, -np.array(evidence.log_odds_many([t or "" for t in texts]))))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE,
