@@ -8,8 +8,8 @@ scaling, encoders, vectorisers, the estimator) travels together.
 Parameter mapping (reference objective -> Spark ML):
 * L2 logistic regression with C: ``regParam = 1 / (C * n)``, no
   standardisation (Spark's objective is the mean loss).
-* ridge with alpha: ``regParam = alpha * std_pop(y) / n`` (Spark scales the
-  label internally), lasso with alpha: ``regParam = alpha, elasticNet = 1``.
+* ridge and lasso: solved from moments (see ``linear``), one scan for all
+  penalties and folds.
 * multi-class boosting: one-vs-rest over binary GBTs.
 * RBF-kernel SVM / SVR: random Fourier features (plain column
   expressions, no UDF) followed by a linear model.
@@ -19,20 +19,21 @@ from __future__ import annotations
 
 import functools
 import math
+import operator
 import random
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes,
                                        OneVsRest, RandomForestClassifier)
-from pyspark.ml.evaluation import Evaluator, RegressionEvaluator
+from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import linear
 from .evaluate import f1_macro
 
 SEED = 42
@@ -143,13 +144,11 @@ def predict_rbf_svc(model: dict, df: DataFrame) -> DataFrame:
 # ------------------------------------------------------------ regressors
 
 def reg_ridge(train: DataFrame, alpha: float = 1.0, label: str = "label"):
-    st = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(label).alias("s")).first()
-    reg = alpha * (st["s"] or 1.0) / st["n"]
-    return LinearRegression(regParam=reg, elasticNetParam=0.0, standardization=False, labelCol=label).fit(train)
+    return linear.ridge(linear.moments(train, label)[None], alpha)
 
 
 def reg_lasso(train: DataFrame, alpha: float = 0.1, label: str = "label"):
-    return LinearRegression(regParam=alpha, elasticNetParam=1.0, standardization=False, labelCol=label).fit(train)
+    return linear.lasso(linear.moments(train, label)[None], alpha)
 
 
 def reg_rbf_svr(train: DataFrame, cols: list[str], n_out: int = 100, gamma: float | None = None,
@@ -195,36 +194,24 @@ class MacroF1Evaluator(Evaluator):
 
 
 def grid_search_ridge(train: DataFrame, alphas=(0.001, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0),
-                      fold_col: str = "fold", label: str = "label", parallelism: int = 4,
-                      num_folds: int = 5) -> DataFrame:
-    """k-fold R2 per alpha on precomputed folds; returns (alpha, r2).
-
-    Spark scales the penalty by the label's standard deviation and the row
-    count, so both are taken from the rows each fit sees.  ``parallelism``
-    fits of a fold run at a time.
-    """
-    metric = RegressionEvaluator(metricName="r2", labelCol=label)
+                      fold_col: str = "fold", label: str = "label", num_folds: int = 5) -> DataFrame:
+    """k-fold R2 per alpha on precomputed folds; returns (alpha, r2).  One scan
+    sums the moments of each fold; every alpha and split is solved from them."""
+    parts = linear.moments(train, label, fold=fold_col)
+    folds = [parts[k] for k in range(num_folds)]
     totals = [0.0] * len(alphas)
-    for k in range(num_folds):
-        fit_on, held = train.where(F.col(fold_col) != k), train.where(F.col(fold_col) == k)
-        models = ridge_models(fit_on, alphas, label)
-        with ThreadPool(min(parallelism, len(alphas))) as pool:
-            scores = pool.map(lambda m: metric.evaluate(m().transform(held)), models)
-        totals = [t + s for t, s in zip(totals, scores)]
+    for k, held in enumerate(folds):
+        rest = functools.reduce(operator.add, folds[:k] + folds[k + 1:])
+        totals = [t + held.r2(linear.ridge(rest, a)) for t, a in zip(totals, alphas)]
     rows = [(float(a), t / num_folds) for a, t in zip(alphas, totals)]
     return train.sparkSession.createDataFrame(rows, "alpha double, r2 double")
 
 
 def ridge_models(train: DataFrame, alphas, label: str = "label"):
     """One fit per alpha, each a function without arguments: the closed-form
-    ridge with penalty alpha on the rows of ``train``."""
-    st = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(label).alias("s")).first()
-
-    def fit(a):
-        return LinearRegression(elasticNetParam=0.0, standardization=False, labelCol=label,
-                                regParam=a * (st["s"] or 1.0) / st["n"]).fit(train)
-
-    return [functools.partial(fit, a) for a in alphas]
+    ridge with penalty alpha on the rows of ``train``, which are read once."""
+    sums = linear.moments(train, label)[None]
+    return [functools.partial(linear.ridge, sums, a) for a in alphas]
 
 
 SEARCH_SPACE = {
