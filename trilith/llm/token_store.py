@@ -22,9 +22,9 @@ Keys of the shard always meet their own slot; a foreign key passes the
 fingerprint with probability 2 ** -32.  A key costs the same few steps however
 large the shard is.
 
-``write_store`` writes shards and a catalog of one row per shard;
-``read_store`` reads every document back through the index, ``read_keys`` some,
-and ``Shard`` opens one seekable file.
+``write_store`` writes shards; ``catalog`` has one row per shard, from the
+trailers; ``read_store`` reads every document back through the index,
+``read_keys`` some, and ``Shard`` opens one seekable file.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ import re
 import struct
 import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +79,8 @@ class Encoder:
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(own)]
         self.chars = {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
+        self.space, self.tokenize = chr(self.chars[32]), self.whole.model.tokenize
+        self.code = next(c for c in "HI" if array(c).itemsize == self.width.itemsize)
         encoder = self
 
         class Words(dict):
@@ -89,8 +92,11 @@ class Encoder:
         self.words = Words()
 
     def piece(self, piece: str) -> bytes:
-        raw = piece.encode("utf-8").decode("latin-1").translate(self.chars)
-        return np.array([t.id for t in self.whole.model.tokenize(raw)], dtype=self.width).tobytes()
+        if piece[1:].isalpha() and piece.isascii() and piece[0] == " ":  # most pieces
+            raw = self.space + piece[1:]
+        else:
+            raw = piece.encode("utf-8").decode("latin-1").translate(self.chars)
+        return array(self.code, [t.id for t in self.tokenize(raw)]).tobytes()
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.specials):
@@ -259,9 +265,8 @@ def _shard_of(content) -> Shard:
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, key: str = "doc_id") -> DataFrame:
-    """Encode ``text``, append ``end_id`` and write shards under ``path``/shards
-    and the catalog under ``path``/catalog, which is returned: shard, documents,
-    least and greatest key, ids, and ``base``, the ids of all shards before.
+    """Encode ``text``, append ``end_id`` and write shards under ``path``/shards.
+    Returns their ``catalog``, which reads them when it is used.
 
     Order: key, null first; equal keys by bytes of text and a hash of it, so
     repeated rows follow each other.  Null text is the empty text (the end id
@@ -304,7 +309,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
 
     (dealt.select("key", "text").mapInArrow(run, "value binary").select(F.col("value").cast("string"))
      .write.option("lineSep", end.decode()).text(f"{path}/shards"))
-    return _write_catalog(spark, path)
+    return catalog(spark, path)
 
 
 def _files(spark: SparkSession, paths) -> DataFrame:
@@ -312,7 +317,9 @@ def _files(spark: SparkSession, paths) -> DataFrame:
             .select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("shard"), "path", "content"))
 
 
-def _write_catalog(spark: SparkSession, path: str) -> DataFrame:
+def catalog(spark: SparkSession, path: str) -> DataFrame:
+    """shard, path, docs, nulls (documents without a key), least and greatest
+    key, ids, and ``base``, the ids of all shards before."""
     schema = "shard int, path string, docs long, nulls long, least long, greatest long, ids long"
 
     def run(batches):
@@ -328,11 +335,12 @@ def _write_catalog(spark: SparkSession, path: str) -> DataFrame:
             cols = zip(*rows) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
-    # one row per shard: the only window over all of them
-    before = F.sum("ids").over(Window.orderBy("shard")) - F.col("ids")
-    (_files(spark, f"{path}/shards").mapInArrow(run, schema).withColumn("base", before)
-     .write.parquet(f"{path}/catalog"))
-    return spark.read.parquet(f"{path}/catalog")
+    return _based(_files(spark, f"{path}/shards").mapInArrow(run, schema))
+
+
+def _based(shards: DataFrame) -> DataFrame:
+    """With the ids of all shards before: a running sum over one row per shard."""
+    return shards.withColumn("base", F.sum("ids").over(Window.orderBy("shard")) - F.col("ids"))
 
 
 READ = "key long, shard int, at long, n_tokens long, ids_crc32 long"
@@ -352,8 +360,8 @@ def _documents(shard: Shard, number: int, wanted, with_ids: bool):
     return pa.RecordBatch.from_arrays(cols, names=names)
 
 
-def _with_base(rows: DataFrame, catalog: DataFrame) -> DataFrame:
-    base = small(catalog.select("shard", "base"))
+def _with_base(rows: DataFrame, shards: DataFrame) -> DataFrame:
+    base = small(shards.select("shard", "base"))
     return rows.join(base, "shard").withColumn("start", F.col("base") + F.col("at")).drop("base", "at")
 
 
@@ -370,18 +378,18 @@ def read_store(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
                 for start in range(0, len(wanted), 1000):
                     yield _documents(shard, number.as_py(), wanted[start:start + 1000], ids)
 
-    catalog = spark.read.parquet(f"{path}/catalog")
-    rows = _files(spark, f"{path}/shards").mapInArrow(run, READ + (", ids array<long>" if ids else ""))
-    return _with_base(rows, catalog)
+    rows = stored(_files(spark, f"{path}/shards").mapInArrow(run, READ + (", ids array<long>" if ids else "")), "token-rows")
+    shards = stored(_based(rows.groupBy("shard").agg(F.sum("n_tokens").alias("ids"))), "token-bases")
+    return _with_base(rows, shards)
 
 
 def read_keys(spark: SparkSession, path: str, keys: DataFrame, ids: bool = True) -> DataFrame:
     """The documents of ``keys`` (first column, long): as ``read_store``, one
     row per document; repeated and null keys are asked once and not at all, keys that the store
     lacks give no row.  Only shards whose range holds a key are read."""
-    catalog = spark.read.parquet(f"{path}/catalog")
+    shards = stored(catalog(spark, path), "token-catalog")
     wanted = keys.select(F.col(keys.columns[0]).cast("long").alias("key")).dropna().distinct()
-    ranges = [tuple(r) for r in catalog.where("least IS NOT NULL").orderBy("shard")
+    ranges = [tuple(r) for r in shards.where("least IS NOT NULL").orderBy("shard")
               .select("shard", "least", "greatest").collect()]
     shared = spark.sparkContext.broadcast(np.array(ranges, dtype=np.int64).reshape(-1, 3))
 
@@ -401,10 +409,10 @@ def read_keys(spark: SparkSession, path: str, keys: DataFrame, ids: bool = True)
     blocks = -(-most // REQUESTS) or 1
     lists = routed.groupBy("shard", F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("_block")).agg(
         F.collect_list("key").alias("keys"))
-    paths = [r[0] for r in touched.join(catalog, "shard").select("path").collect()]
+    paths = [r[0] for r in touched.join(shards, "shard").select("path").collect()]
     schema = READ + (", ids array<long>" if ids else "")
     if not paths:
-        return _with_base(spark.createDataFrame([], schema), catalog)
+        return _with_base(spark.createDataFrame([], schema), shards)
 
     def run(batches):
         for batch in batches:
@@ -416,4 +424,4 @@ def read_keys(spark: SparkSession, path: str, keys: DataFrame, ids: bool = True)
                     yield _documents(shard, number.as_py(), found[start:start + 1000], ids)
 
     joined = _files(spark, paths).join(small(stored(lists, "token-lists"), 1000), "shard")
-    return _with_base(joined.select("shard", "content", "keys").mapInArrow(run, schema), catalog)
+    return _with_base(joined.select("shard", "content", "keys").mapInArrow(run, schema), shards)
