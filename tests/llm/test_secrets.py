@@ -114,3 +114,12 @@ def test_odd_rows(odd_docs, no_docs):
     assert S.scan_documents(no_docs).count() == 0
     same = S.redact_documents(odd_docs)
     assert same.schema == odd_docs.schema and same.collect() == odd_docs.collect()
+
+
+def test_many_open_marks_take_linear_time():
+    import time
+    start = time.process_time()
+    assert S.scan("-----BEGIN RSA PRIVATE KEY-----\n" * 160_000) == []
+    assert S.armoured("-----BEGIN A PRIVATE KEY-----x-----END A PRIVATE KEY-----END A PRIVATE KEY-----") == [
+        (0, 57, "x")]
+    assert time.process_time() - start < 10

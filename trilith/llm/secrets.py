@@ -26,6 +26,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -44,7 +45,8 @@ ASSIGN_RE = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\
                        re.I | re.A)
 ACCESS_RE = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX_RE = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
-PEM_RE = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(.*?)-----END \1-----", re.S)
+BEGIN_RE = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)(?=-----)")
+END_RE = re.compile(r"-----END ([A-Z0-9 ]*PRIVATE KEY)(?=-----)")
 B64_RE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 HEX_KEY_RE = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}")
 #: Beginnings of encoded keys behind a separator: DER sequence, OpenSSH, armour.
@@ -130,13 +132,29 @@ def is_pem(body: str) -> bool:
     return is_der_key(data) or is_openssh_key(data)
 
 
+def armoured(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, body) of each BEGIN with the next END of its kind, from
+    left to right; the marks are found once, whatever is left open."""
+    ends: dict[str, list[int]] = {}
+    for m in END_RE.finditer(text):
+        ends.setdefault(m[1], []).append(m.start())
+    out, last = [], 0
+    for m in BEGIN_RE.finditer(text):
+        own, body = ends.get(m[1], ()), m.end() + 5
+        at = bisect_left(own, body)
+        if m.start() >= last and at < len(own):
+            last = own[at] + len("-----END ") + len(m[1]) + 5
+            out.append((m.start(), last, text[body:own[at]]))
+    return out
+
+
 def is_key(data: bytes) -> bool:
     if not data:
         return False
     if data[0] == 0x30 and is_der_key(data) or is_openssh_key(data):
         return True
-    m = PEM_RE.search(data.decode("latin-1")) if data.startswith(b"-----BEGIN") else None
-    return bool(m) and is_pem(m[2])
+    found = armoured(data.decode("latin-1")) if data.startswith(b"-----BEGIN") else []
+    return bool(found) and is_pem(found[0][2])
 
 
 def is_token(head: str) -> bool:
@@ -197,7 +215,7 @@ def run_spans(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     out = []
     if "-----BEGIN " in text:
-        out += [(m.start(), m.end(), "pem") for m in PEM_RE.finditer(text) if is_pem(m[2])]
+        out += [(a, b, "pem") for a, b, body in armoured(text) if is_pem(body)]
     for m in B64_RE.finditer(text):
         out += run_spans(text, m.start(), m.end())
     if "." in text:
