@@ -109,3 +109,23 @@ def test_odd_rows(spark):
     assert [g[0] for g in got] == ["1", "1", "2", "2", "None"] and got[0][1] == 0
     assert got[2] == got[3] == ("2", 299_999)
     assert X.extract_pages(df.limit(0)).count() == 0
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    from trilith.llm.html_dom import Page
+    for page in ("<a " * 1_700_000, "<a '>" * 1_000_000, '<a ">"' * 800_000 + "'", "<b>" * 800_000 + "</i>" * 600_000,
+                 "<p><table>" + "<b>" * 600_000 + "</p>" * 700_000, "< " * 2_500_000 + ">", "<a" * 2_500_000):
+        start = time.process_time()
+        Page(page)
+        assert time.process_time() - start < 10
+
+
+def test_ends_of_tags():
+    from trilith.llm.html_dom import Page
+    look = lambda s: [(n.tag) for n in Page(s).nodes[1:]] + [t for _, t, _ in Page(s).pieces]
+    assert look("<p a='>'>x</p>") == ["p", "x"]
+    assert look("<p a='>x</p>") == ["p", "x"]
+    assert look('<p a=">"<div>y') == ["p", "y"]
+    assert look("a <!-- b") == ["a "] and look("<p <!-- x") == ["<p "] and look("1 < 2 <p") == ["1 < 2 <p"]

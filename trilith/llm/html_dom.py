@@ -5,10 +5,11 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
-TAG_RE = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-                    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
+NAME_RE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+PLAIN_OR_QUOTED_RE = re.compile(r"[^>\"']++|\"[^\"]*+\"|'[^']*+'")
+ATTRS_RE = re.compile(rf"(?:{PLAIN_OR_QUOTED_RE.pattern})*+")
 ATTR_RE = re.compile(r"(?:^|\s)(class|id|role|itemprop|aria-label|data-part)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))",
                      re.I)
 TOKEN_RE = re.compile(r"[a-z]+")
@@ -73,6 +74,8 @@ class Page:
         self.nodes: list[Node] = []
         self.pieces: list[tuple[Node, str, int]] = []
         self._block, self._open, self._anchors = 0, [], 0
+        self._places: dict[str, list[int]] = defaultdict(list)  # of the open elements, by tag
+        self._stuck = None
         self.root = self._push("#root", "", None)
         self._parse(source)
         self._sum()
@@ -84,24 +87,31 @@ class Page:
             node.index = len(parent.children)
             parent.children.append(node)
         self.nodes.append(node)
-        self._open.append((tag, node))
+        self._enter(tag, node)
         return node
 
+    def _enter(self, tag, node) -> None:
+        self._places[tag].append(len(self._open))
+        self._open.append((tag, node))
+
     def _pop_to(self, depth: int) -> None:
         while len(self._open) > depth:
             tag, _ = self._open.pop()
+            self._places[tag].pop()
             if tag in BLOCKS:
                 self._block += 1
             if tag == "a":
                 self._anchors -= 1
 
+    def _innermost(self, tags) -> int:
+        return max((self._places[t][-1] for t in tags if self._places.get(t)), default=0)
+
     def _close(self, tags, fence=frozenset()) -> None:
-        for i in range(len(self._open) - 1, 0, -1):
-            if self._open[i][0] in tags:
-                return self._pop_to(i)
-            if self._open[i][0] in fence:
-                return None
-        return None
+        """Close the innermost open element of ``tags``, unless one of
+        ``fence`` lies inside it."""
+        at = self._innermost(tags)
+        if at > 0 and at >= self._innermost(fence):
+            self._pop_to(at)
 
     def _start(self, tag: str, attrs: str) -> None:
         if tag in CLOSES_P:
@@ -126,7 +136,7 @@ class Page:
         if tag in BLOCKS or value or part or tag in SILENT:
             self._push(tag, value, part)
         else:  # plain inline elements are no nodes
-            self._open.append((tag, node))
+            self._enter(tag, node)
         self._anchors += tag == "a"
         node.tags += 1
 
@@ -144,17 +154,53 @@ class Page:
         if self._anchors:
             node.links += n
 
+    def _next_tag(self, source: str, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, slash, name, attributes) of the next tag or comment.
+
+        A tag ends at the first ``>`` outside quotes, or if a quote is not
+        closed, at the first ``>``.  Where a look for the end got stuck at an
+        open quote, places outside quotes are marked: a later look from there
+        would get stuck too, so a page is read a bounded number of times.
+        """
+        while True:
+            start = source.find("<", at)
+            if start < 0:
+                return None
+            if source.startswith("<!--", start):
+                close = source.find("-->", start + 4)
+                return start, close + 3 if close >= 0 else len(source), "", "", ""
+            name = NAME_RE.match(source, start)
+            if not name and source[start + 1:start + 2] not in ("!", "?", "/"):
+                at = start + 1
+                continue
+            first = source.find(">", start)
+            if first < 0:  # no tag ends any more, and no comment
+                comment = source.find("<!--", start)
+                return (comment, len(source), "", "", "") if comment >= 0 else None
+            if not name:
+                return start, first + 1, "", "", ""
+            at = name.end()
+            if self._stuck is None or not self._stuck[at]:
+                end = ATTRS_RE.match(source, at).end()
+                if source[end:end + 1] == ">":
+                    return start, end + 1, name[1], name[2], source[at:end]
+                if self._stuck is None:
+                    self._stuck = bytearray(len(source) + 1)
+                for part in PLAIN_OR_QUOTED_RE.finditer(source, at, end):
+                    if part[0][0] not in "\"'":
+                        self._stuck[part.start():part.end()] = b"\1" * len(part[0])
+            return start, first + 1, name[1], name[2], source[at:first]
+
     def _parse(self, source: str) -> None:
         at = 0
         while True:
-            m = TAG_RE.search(source, at)
-            stop = m.start() if m else len(source)
+            found = self._next_tag(source, at)
+            stop = found[0] if found else len(source)
             if stop > at:
                 self._text(source[at:stop])
-            if not m:
+            if not found:
                 return
-            at = m.end()
-            end, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+            _, at, end, tag, attrs = found
             if not tag:
                 continue
             tag = tag.lower()
