@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
@@ -58,3 +59,10 @@ def test_odd_rows(spark, odd_docs, no_docs, library):
         assert (r["doc_id"], r["decoded"]) == (doc_id, text or "")
         assert r["ids"] == library.encode(text or "", add_special_tokens=False).ids and r["n_tokens"] == len(r["ids"])
     assert bpe.encode_documents(no_docs, tokenizer_path(), digests=True).count() == 0
+
+
+def test_the_table_grows_until_new_keys_fit():
+    t = bpe.Table(lambda k: k % 11, bits=4)
+    keys = np.arange(600_000, dtype=np.int64) * 5
+    assert (t.get(keys) == keys % 11).all() and (t.get(keys[::-7]) == keys[::-7] % 11).all()
+    assert t.mask > 3 * 600_000

@@ -102,7 +102,9 @@ class Table:
             if (self.filled + len(new)) * 3 > self.mask:
                 old, kept = self.keys[self.keys >= 0], self.values[self.keys >= 0]
                 grow = self.filled < CACHED_ARCS
-                self._empty(bits + 1 if grow else bits)
+                while (self.filled * grow + len(new)) * 3 >= 1 << bits:
+                    bits += 1
+                self._empty(bits)
                 if grow:
                     self._insert(old, kept)
             self._insert(new, values)
