@@ -65,3 +65,13 @@ def test_odd_rows(odd_docs, no_docs):
     assert sorted((str(r["doc_id"]), *base(r)) for r in rows) == want
     assert all(not r["kept"] for r in rows if r["n_words"] < 20)
     assert Q.quality(no_docs).count() == 0
+
+
+def test_the_limit_is_the_same_on_large_and_small_hosts(spark):
+    """A line of 30 documents goes on a host of 40 and on one of 2000."""
+    lines = [(i, host, f"common line of words\nown text number {i} on {host} " + " ".join(f"w{i}x{j}" for j in range(30))
+              if i % 2000 < 30 else f"other text number {i} " + " ".join(f"v{i}x{j}" for j in range(30)))
+             for host, start, n in (("small", 0, 40), ("large", 2000, 2000)) for i in range(start, start + n)]
+    df = spark.createDataFrame(lines, "doc_id long, source string, text string")
+    got = Q.quality(df, share=0.0).where("removed_words > 0").groupBy().agg({"*": "count"}).first()[0]
+    assert got == 60

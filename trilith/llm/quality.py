@@ -6,9 +6,10 @@ normalised lines (white space as one space, lower case), counts for each
 host how many distinct documents hold a line, removes the lines above the
 limit and rejects documents of which too little is left.
 
-A line is removed on a host if more than ``max(MIN_DOCS, SHARE * documents of
-the host)`` distinct documents hold it.  Documents of equal text are one
-document here, so the copies of a text do not condemn its lines.  A document
+A line is removed on a host if more than ``max(min_docs, share * documents of
+the host)`` distinct documents hold it.  With ``share=0``, as the registered
+query has it, the limit does not loosen on large hosts; the default spares
+lines of less than a tenth of a host.  Documents of equal text are one document here, so the copies of a text do not condemn its lines.  A document
 is depleted if fewer than ``MIN_WORDS`` words or less than ``MIN_LEFT`` of its
 words are left.
 
@@ -104,8 +105,7 @@ def _same() -> Column:
 
 
 def clean_texts(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
-    """doc_id, host, text without the removed lines: one row per input row.
-    ``share=0`` makes the limit ``min_docs`` on hosts of any size."""
+    """doc_id, host, text without the removed lines: one row per input row."""
     removed = stored(_removed(stored(base_rules(docs, host), "quality"), min_docs, share), "removed")
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.col(host).alias("host"), "text", F.xxhash64(text).alias("key"),

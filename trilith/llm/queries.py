@@ -141,9 +141,7 @@ rep AS (SELECT text, sum(k) AS n FROM z GROUP BY text),
 ln AS (SELECT host, text, lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) AS line,
          len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words
        FROM (SELECT host, text, unnest(any_value(l)) AS x FROM d GROUP BY host, text)),
-sizes AS (SELECT host, count(DISTINCT text) AS docs FROM d GROUP BY host),
-often AS (SELECT ln.host, line FROM ln JOIN sizes ON ln.host IS NOT DISTINCT FROM sizes.host GROUP BY ALL
-          HAVING count(DISTINCT text) > greatest(10, 0.1 * any_value(docs))),
+often AS (SELECT host, line FROM ln GROUP BY ALL HAVING count(DISTINCT text) > 10),
 gone AS (SELECT ln.host, text, sum(words) AS n FROM ln
          JOIN often o ON ln.host IS NOT DISTINCT FROM o.host AND ln.line = o.line GROUP BY ALL),
 m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
@@ -160,7 +158,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 
 @register("op7_quality_rules", QUALITY_SQL)
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(read_table(spark, sf_dir, "documents"))
+    return quality.quality(read_table(spark, sf_dir, "documents"), share=0.0)
 
 
 @register("op8_toxicity")
