@@ -128,3 +128,31 @@ def test_one_key_fills_many_shards(spark, odd_docs, monkeypatch):
     assert catalog.count() > 8
     assert T.read_store(spark, path).agg({"n_tokens": "sum"}).first()[0] == catalog.agg({"ids": "sum"}).first()[0]
     assert T.read_keys(spark, path, spark.createDataFrame([(7,)], "k long")).count() == 300
+
+
+def test_blocks_of_texts_are_encoded_as_each_alone(library, docs, monkeypatch):
+    """Also with a tiny block and a table that is often cleared."""
+    rng = np.random.default_rng(6)
+    alphabet = list("ab'stredvmlé×ÀÿÃ 0") + [" ", " ", "'", "\n", "\t", ".", "!", "\x1f", "\x00"]
+    texts = TRICKY + ["".join(rng.choice(alphabet, rng.integers(0, 40))) for _ in range(4000)]
+    texts += ["'s", "'re", "'r", "x'", "'", " 's", "a'll'", "'ll", "''s", "é's", "'dé", "1's 're2", " ", "\n ", " \n"]
+    texts += [r["text"] or "" for r in docs.select("text").collect()]
+    want = [np.array(e.ids, dtype="<u2").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        spec = f.read()
+    for pieces, block in ((500_000, 1 << 20), (50, 300)):
+        monkeypatch.setattr(T, "TABLE_PIECES", pieces)
+        monkeypatch.setattr(T, "BLOCK", block)
+        e = T.Encoder(spec)
+        for _ in range(2):
+            got = e.encode_many(texts)
+            assert [t for t, a, b in zip(texts, got, want) if a != b] == []
+
+
+def test_pieces_of_one_hash_are_told_apart(library):
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        e = T.Encoder(f.read())
+    e.table.values[0] = 1  # every piece of a length has the same first hash
+    texts = ["one two six ten", "two one", " six one", "abc abd abc"]
+    want = [np.array(x.ids, dtype="<u2").tobytes() for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert e.encode_many(texts) == want == e.encode_many(texts)

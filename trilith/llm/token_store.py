@@ -42,12 +42,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, partitions, stored, task_state
+from .piece_table import BEYOND, PieceTable
 from .ranks import small
 
 END_ID = 2
 SHARD_BYTES = 64 << 20  # of text
 SHARD_ROWS = 1_000_000
-CACHED_WORDS, LONG_WORD = 400_000, 64
+CACHED_WORDS, LONG_WORD = 100_000, 64  # of texts with unusual characters
+TABLE_PIECES, BLOCK = 1_000_000, 1 << 20  # pieces kept; bytes of text encoded together
 REQUESTS = 100_000  # keys looked up in a shard at a time
 
 #: Fixed value: the public byte-level pre-split pattern, over letter, digit
@@ -90,6 +92,7 @@ class Encoder:
                     self[piece] = ids
                 return ids
         self.words = Words()
+        self.table = PieceTable(self.piece, self.width, LONG_WORD, TABLE_PIECES, BLOCK)
 
     def piece(self, piece: str) -> bytes:
         if piece[1:].isalpha() and piece.isascii() and piece[0] == " ":  # most pieces
@@ -98,6 +101,28 @@ class Encoder:
             raw = piece.encode("utf-8").decode("latin-1").translate(self.chars)
         return array(self.code, [t.id for t in self.tokenize(raw)]).tobytes()
 
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """``encode`` of each text, those of usual characters in blocks."""
+        out: list = [b""] * len(texts)
+        block, size = [], 0
+        for i, t in enumerate(texts):
+            raw = t.encode("utf-8")
+            if len(raw) > BLOCK or any(s in t for s in self.specials) or not t.isascii() and BEYOND.search(t):
+                out[i] = self.encode(t)
+            elif raw:
+                if size + len(raw) > BLOCK:
+                    self._encode_block(block, out)
+                    block, size = [], 0
+                block.append((i, raw))
+                size += len(raw)
+        self._encode_block(block, out)
+        return out
+
+    def _encode_block(self, block: list, out: list) -> None:
+        if block:
+            for (i, _), ids in zip(block, self.table.encode_many([raw for _, raw in block])):
+                out[i] = ids
+
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.specials):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=self.width).tobytes()
@@ -299,8 +324,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
         for batch in batches:
             keys += batch.column("key").to_pylist()
             texts = batch.column("text")
-            for start in range(0, len(texts), 32):
-                payload = [encoder.encode(t) for t in texts.slice(start, 32).to_pylist()]
+            for start in range(0, len(texts), 256):
+                payload = encoder.encode_many(texts.slice(start, 256).to_pylist())
                 counts += [len(p) // encoder.width.itemsize + 1 for p in payload]
                 yield pa.RecordBatch.from_arrays([pa.array(payload, pa.binary())], names=["value"])
         if keys:
