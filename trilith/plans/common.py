@@ -12,16 +12,21 @@ ITEM_BOUNDS = {"poids": (0.0, 500.0), "volume": (0.0, None), "prix_revente": (0.
 CAP_COLUMNS = ["poids", "volume", "prix_revente"]
 
 
+def clean_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Item view with physically impossible values set to NULL, for queries
+    that read it once."""
+    return null_out_of_range(item_view(spark, sf_dir), ITEM_BOUNDS)
+
+
 def clean_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Item view with physically impossible values set to NULL.
+    """``clean_view`` for fits that scan it several times.
 
-    Written once to the shared checkpoint folder: every fit downstream
-    (medians, IQR bounds, split cut points) rescans it several times, and a
-    scan of the written table is far cheaper than re-running the
-    line-item aggregate and the four joins each time.
+    Written once to the shared checkpoint folder: medians, IQR bounds and
+    split cut points rescan it, and a scan of the written table is far cheaper
+    than re-running the line-item aggregate and the four joins each time.
     """
     from ..session import materialize
-    return materialize(null_out_of_range(item_view(spark, sf_dir), ITEM_BOUNDS))
+    return materialize(clean_view(spark, sf_dir))
 
 
 def imputed_items(spark: SparkSession, sf_dir: str) -> DataFrame:

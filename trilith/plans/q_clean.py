@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import TEXT_ONLY_DEFAULTS, UNLABELLED
 from ..operators import clean as C
 from ..sources.items import ITEM_COLUMNS, item_view
-from .common import clean_items, items_sql
+from .common import clean_view, items_sql
 from .registry import register
 
 MEASURES_MAP = {"poids": "Poids", "volume": "Volume", "conductivite": "Conductivite",
@@ -17,7 +17,7 @@ MEASURES_MAP = {"poids": "Poids", "volume": "Volume", "conductivite": "Conductiv
 
 @register("null_out_of_range", items_sql(f"SELECT {', '.join(ITEM_COLUMNS)} FROM clean"))
 def q_null_out_of_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean_items(spark, sf_dir)
+    return clean_view(spark, sf_dir)
 
 
 @register("split_labelled", items_sql(
@@ -30,7 +30,7 @@ def q_split_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("drop_null_subset", items_sql(
     f"SELECT {', '.join(ITEM_COLUMNS)} FROM clean WHERE poids IS NOT NULL AND volume IS NOT NULL"))
 def q_drop_null_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.drop_null_subset(clean_items(spark, sf_dir), ["poids", "volume"])
+    return C.drop_null_subset(clean_view(spark, sf_dir), ["poids", "volume"])
 
 
 @register("coerce_numeric", items_sql(
@@ -63,7 +63,7 @@ FEATURES = ["poids", "volume", "conductivite", "opacite", "rigidite", "prix_reve
 
 @register("select_features", items_sql(f"SELECT item_id, {', '.join(FEATURES)} FROM clean"))
 def q_select_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.select_features(clean_items(spark, sf_dir), ["item_id", *FEATURES], target="categorie")
+    return C.select_features(clean_view(spark, sf_dir), ["item_id", *FEATURES], target="categorie")
 
 
 _DEFAULTS = {k: TEXT_ONLY_DEFAULTS[v] for k, v in MEASURES_MAP.items()}

@@ -8,7 +8,8 @@ from ..functions.stats import sql_exact_mean, sql_fround, sql_guarded_corr
 from ..operators import profile as P
 from ..sources.items import ITEM_COLUMNS, NUMERIC_COLUMNS, item_view
 from ..sources.tables import read_table
-from .common import clean_items, items_sql, union_sql
+from ..session import stored
+from .common import clean_items, clean_view, items_sql, union_sql
 from .registry import register
 
 NUM = NUMERIC_COLUMNS
@@ -83,7 +84,8 @@ FROM clean, b WHERE poids IS NOT NULL AND categorie IS NOT NULL GROUP BY 1, 2"""
     """,
 b AS (SELECT min(poids) AS lo, max(poids) AS hi FROM clean WHERE poids IS NOT NULL AND categorie IS NOT NULL)"""))
 def q_histogram_by(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.histogram_by(clean_items(spark, sf_dir), "poids", "categorie", bins=40)
+    two = stored(clean_view(spark, sf_dir).select("poids", "categorie"), "histogram-by")  # range, then counts
+    return P.histogram_by(two, "poids", "categorie", bins=40)
 
 
 @register("boxplot_by", items_sql("""
@@ -115,26 +117,26 @@ def _corr_sql(src: str, cols: list[str], indicator: bool = False) -> str:
 
 @register("correlation_matrix", items_sql(_corr_sql("clean", NUM)))
 def q_correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.correlation_matrix(clean_items(spark, sf_dir), NUM)
+    return P.correlation_matrix(clean_view(spark, sf_dir), NUM)
 
 
 @register("missing_patterns", items_sql(
     "SELECT concat(" + ", ".join(f"CASE WHEN {c} IS NULL THEN '1' ELSE '0' END" for c in NUM)
     + ") AS pattern, count(*) AS count FROM clean GROUP BY 1"))
 def q_missing_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.missing_patterns(clean_items(spark, sf_dir), NUM)
+    return P.missing_patterns(clean_view(spark, sf_dir), NUM)
 
 
 @register("missing_correlation", items_sql(_corr_sql("clean", NUM, indicator=True)))
 def q_missing_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.missing_correlation(clean_items(spark, sf_dir), NUM)
+    return P.missing_correlation(clean_view(spark, sf_dir), NUM)
 
 
 @register("null_rate_by", items_sql(
     "SELECT source, round(avg(CAST(poids IS NULL AS DOUBLE)), 3) AS null_rate "
     "FROM clean WHERE source IS NOT NULL GROUP BY 1"))
 def q_null_rate_by(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.null_rate_by(clean_items(spark, sf_dir), "poids", "source")
+    return P.null_rate_by(clean_view(spark, sf_dir), "poids", "source")
 
 
 @register("little_mcar")

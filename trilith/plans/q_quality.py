@@ -14,7 +14,7 @@ from ..functions.udf import group_apply, text_udf
 from ..operators import quality as Q
 from ..sources.items import ITEM_COLUMNS, MEASURE_COLUMNS, item_view
 from ..sources.tables import read_table
-from .common import capped_items, clean_items, items_sql, split_cte, split_labels, union_sql
+from .common import capped_items, clean_view, items_sql, split_cte, split_labels, union_sql
 from .registry import register
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -107,7 +107,7 @@ def _null_partial(pdf: pd.DataFrame) -> pd.DataFrame:
 @register("group_apply", items_sql(
     "SELECT source, round(avg(CAST(poids IS NULL AS DOUBLE)), 3) AS null_rate FROM clean WHERE source IS NOT NULL GROUP BY 1"))
 def q_group_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = clean_items(spark, sf_dir).select("source", "poids")
+    df = clean_view(spark, sf_dir).select("source", "poids")
     return group_apply(df, ["source"], _null_partial, "source string, n_null long, n long",
                        merge={"n_null": F.sum("n_null"), "n": F.sum("n")},
                        finish={"null_rate": F.round(F.col("n_null") / F.col("n"), 3)})
