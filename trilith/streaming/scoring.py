@@ -9,6 +9,7 @@ state, no watermark needed: the count is cumulative by definition).
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,7 +64,11 @@ def stream_score(spark: SparkSession, src: str, schema: StructType, clf: Pipelin
     q = (checked.writeStream.foreachBatch(per_batch)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(sink).drop("epoch")
+    try:
+        return spark.read.parquet(sink).drop("epoch")
+    except AnalysisException:  # no file has arrived yet
+        none = spark.createDataFrame([], schema)
+        return batch_score(none, clf, labels, reg, keep).drop("probabilities").where(F.lit(False))
 
 
 def stream_prediction_metrics(spark: SparkSession, src: str, schema: StructType, name: str,
