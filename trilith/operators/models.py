@@ -11,8 +11,8 @@ Parameter mapping (reference objective -> Spark ML):
 * ridge and lasso: solved from moments (see ``linear``), one scan for all
   penalties and folds.
 * multi-class boosting: one-vs-rest over binary GBTs.
-* RBF-kernel SVM / SVR: random Fourier features (plain column
-  expressions, no UDF) followed by a linear model.
+* RBF-kernel SVM / SVR: the support vector objectives on Nyström features
+  (see ``kernel``), with C, epsilon and gamma as in the reference.
 """
 
 from __future__ import annotations
@@ -28,12 +28,13 @@ from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegress
                                        OneVsRest, RandomForestClassifier)
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import linear
+from ..session import stored
+from . import kernel, linear
 from .evaluate import f1_macro
 
 SEED = 42
@@ -86,28 +87,7 @@ def clf_naive_bayes(train: DataFrame, alpha: float = 0.1, label: str = "label"):
     return NaiveBayes(modelType="multinomial", smoothing=alpha, labelCol=label).fit(train)
 
 
-# ------------------------------------------------------------ kernels by random features
-
-def fourier_params(n_in: int, n_out: int = 100, gamma: float = 1.0, seed: int = SEED):
-    rng = np.random.default_rng(seed)
-    w = rng.normal(0.0, math.sqrt(2 * gamma), size=(n_out, n_in))
-    b = rng.uniform(0.0, 2 * math.pi, size=n_out)
-    return w, b
-
-
-def fourier_features(df: DataFrame, cols: list[str], w: np.ndarray, b: np.ndarray, out: str = "rff") -> DataFrame:
-    """sqrt(2/D) cos(W x + b) as one array expression over a literal W
-    (D x p numbers), then a dense vector -- JVM-side, no UDF."""
-    from pyspark.ml.functions import array_to_vector
-    scale = math.sqrt(2.0 / len(b))
-    x = F.array(*[F.col(c).cast("double") for c in cols])
-    wl = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in w])
-    bl = F.array(*[F.lit(float(v)) for v in b])
-    z = F.transform(F.sequence(F.lit(0), F.lit(len(b) - 1)), lambda i: F.cos(F.aggregate(
-        F.zip_with(F.element_at(wl, i + 1), x, lambda a, v: a * v), F.element_at(bl, i + 1),
-        lambda acc, t: acc + t)) * scale)
-    return df.withColumn(out, array_to_vector(z))
-
+# ------------------------------------------------------------ kernel machines
 
 def rbf_gamma_scale(df: DataFrame, cols: list[str]) -> float:
     """gamma = 1 / (n_features * variance of all feature values)."""
@@ -116,29 +96,28 @@ def rbf_gamma_scale(df: DataFrame, cols: list[str]) -> float:
     return 1.0 / (len(cols) * var) if var > 0 else 1.0
 
 
-def clf_rbf_svc(train: DataFrame, cols: list[str], n_out: int = 100, C: float = 1.0, gamma: float | None = None,
-                label: str = "label", seed: int = SEED):
-    """RBF-kernel SVM via random Fourier features + one-vs-rest linear SVM;
-    scores are calibrated into probabilities by a multinomial logistic
-    layer on the SVM margins.  Returns a PipelineModel-like tuple."""
+def clf_rbf_svc(train: DataFrame, cols: list[str], landmarks: int = 128, C: float = 1.0, gamma: float | None = None,
+                label: str = "label", seed: int = SEED, folds: int = 5) -> dict:
+    """RBF-kernel SVM, each class against the rest, on Nyström features of at
+    most ``landmarks`` rows.  Probabilities come from a multinomial logistic
+    layer over margins of rows that their machines did not see (``folds``
+    folds); all classes and folds are fitted in the same scans."""
     g = gamma if gamma is not None else rbf_gamma_scale(train, cols)
-    w, b = fourier_params(len(cols), n_out, g, seed)
-    z = fourier_features(train.select(label, *cols), cols, w, b, "features").select("features", label).persist()
-    try:
-        svm = clf_linear_svc(z, C=C, label=label)
-        margins = svm.transform(z).select(F.col("rawPrediction").alias("margins"), label)
-        cal = LogisticRegression(featuresCol="margins", labelCol=label, family="multinomial",
-                                 regParam=1e-4).fit(margins)
-    finally:
-        z.unpersist()
-    return {"w": w, "b": b, "cols": cols, "svm": svm, "calibration": cal}
+    basis = kernel.Nystrom(kernel.landmarks(train, cols, landmarks, seed), g)
+    rows = stored(kernel.training_rows(train, cols, label, folds), "svc-rows")
+    classes = sorted(int(r[0]) for r in rows.select("y").distinct().collect())  # one value a class
+    problems = [kernel.Problem(c, f) for f in [None, *range(folds)] for c in classes]
+    weights = np.array(kernel.minimise(rows, basis, problems, C, 0.0, 1.0)).reshape(folds + 1, len(classes), -1)
+    unseen = kernel.with_margins(rows, F.col("x"), basis, weights[1:], "_margins", "fold")
+    cal = LogisticRegression(featuresCol="margins", labelCol="y", family="multinomial", regParam=1e-4).fit(
+        stored(unseen.select(F.col("_margins"), "y"), "svc-margins").select(array_to_vector("_margins").alias("margins"), "y"))
+    return {"basis": basis, "weights": weights[0], "cols": cols, "calibration": cal}
 
 
 def predict_rbf_svc(model: dict, df: DataFrame) -> DataFrame:
-    """Calibrated class probabilities and the arg-max prediction."""
-    z = fourier_features(df, model["cols"], model["w"], model["b"], "features")
-    m = model["svm"].transform(z).withColumnRenamed("rawPrediction", "margins").drop("prediction", "features")
-    return model["calibration"].transform(m)
+    """Margins of each class, calibrated probabilities and the class of the greatest."""
+    m = kernel.with_margins(df, kernel.vector(model["cols"]), model["basis"], model["weights"], "_margins")
+    return model["calibration"].transform(m.withColumn("margins", array_to_vector("_margins")).drop("_margins"))
 
 
 # ------------------------------------------------------------ regressors
@@ -151,17 +130,21 @@ def reg_lasso(train: DataFrame, alpha: float = 0.1, label: str = "label"):
     return linear.lasso(linear.moments(train, label)[None], alpha)
 
 
-def reg_rbf_svr(train: DataFrame, cols: list[str], n_out: int = 100, gamma: float | None = None,
-                label: str = "label", seed: int = SEED, epsilon: float = 1.35):
+def reg_rbf_svr(train: DataFrame, cols: list[str], landmarks: int = 256, C: float = 10.0, epsilon: float = 0.1,
+                gamma: float | None = None, label: str = "label", seed: int = SEED) -> dict:
+    """RBF-kernel support vector regression (epsilon-insensitive loss) on
+    Nyström features of at most ``landmarks`` rows."""
     g = gamma if gamma is not None else rbf_gamma_scale(train, cols)
-    w, b = fourier_params(len(cols), n_out, g, seed)
-    z = fourier_features(train, cols, w, b, "rff")
-    lr = LinearRegression(featuresCol="rff", labelCol=label, loss="huber", epsilon=epsilon, regParam=1e-3)
-    return {"w": w, "b": b, "cols": cols, "model": lr.fit(z.select("rff", label))}
+    basis = kernel.Nystrom(kernel.landmarks(train, cols, landmarks, seed), g)
+    rows = stored(kernel.training_rows(train, cols, label), "svr-rows")
+    mean, spread = rows.agg(F.avg("y"), F.stddev_pop("y")).first()
+    weights = kernel.minimise(rows, basis, [kernel.Problem()], C, epsilon, spread or 1.0, mean)
+    return {"basis": basis, "weights": np.array(weights), "cols": cols}
 
 
 def predict_rbf_svr(model: dict, df: DataFrame) -> DataFrame:
-    return model["model"].transform(fourier_features(df, model["cols"], model["w"], model["b"], "rff"))
+    out = kernel.with_margins(df, kernel.vector(model["cols"]), model["basis"], model["weights"], "_value")
+    return out.withColumn("prediction", F.col("_value")[0]).drop("_value")
 
 
 def reg_boosted(train: DataFrame, rounds: int = 200, depth: int = 4, rate: float = 0.05, label: str = "label",

@@ -84,7 +84,7 @@ def q_clf_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_clf_rbf_svc(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, _ = tabular(spark, sf_dir)
     train, _, test = _parts(df)
-    model = M.clf_rbf_svc(train.select("item_id", "label", *FEATURES), FEATURES, n_out=100)
+    model = M.clf_rbf_svc(train.select("item_id", "label", *FEATURES), FEATURES)
     out = M.predict_rbf_svc(model, test.select("item_id", "label", *FEATURES))
     return out.select("item_id", "label", F.col("prediction").cast("int").alias("prediction"))
 
@@ -152,7 +152,7 @@ def q_reg_lasso(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_reg_rbf_svr(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _, test = _parts(regression_table(spark, sf_dir))
     cols = MEASURE_COLUMNS + ["source_enc"]
-    model = M.reg_rbf_svr(train.select("item_id", "label", *cols), cols)
+    model = M.reg_rbf_svr(train.select("item_id", "label", *cols), cols, C=10.0, epsilon=0.1)
     return M.predict_rbf_svr(model, test.select("item_id", "label", *cols)).select("item_id", "label", "prediction")
 
 
