@@ -76,3 +76,27 @@ def test_topics(spark):
                                "doc_id long, text string, lang string, source string")
     got = {r["doc_id"]: r["topic"] for r in M.mix_report(df).collect()}
     assert [got[i] for i in range(6)] == ["legal", "contact", "table", "noise", "prose", "prose"]
+
+
+def test_cells_beside_a_full_one_make_up_for_it(spark):
+    """A rare cell is kept whole; its language and topic still get their share."""
+    cells = spark.createDataFrame([("a", "en", "prose", 900.0), ("b", "en", "prose", 800.0), ("b", "de", "prose", 10.0),
+                                   ("a", "de", "prose", 700.0)], "source string, lang string, topic string, tokens double")
+    shares = {"source": [("a", 0.7), ("b", 0.3)], "lang": [("en", 0.6), ("de", 0.4)], "topic": [("prose", 1.0)]}
+    targets = {d: spark.createDataFrame(v, f"{d} string, share double") for d, v in shares.items()}
+    raked, budget = M.rake(cells, targets), 0.7 * 2410
+    assert any(r["weight"] * budget > r["tokens"] for r in raked.collect())
+    out = {(r["source"], r["lang"]): r for r in M.expected_tokens(raked, 0.7).collect()}
+    kept = {k: r["expected"] for k, r in out.items()}
+    assert abs(kept["b", "de"] - 10) < 1e-3 and all(r["expected"] <= r["tokens"] for r in out.values())
+    for at, dim in enumerate(("source", "lang")):
+        for name, share in shares[dim]:
+            assert abs(sum(v for k, v in kept.items() if k[at] == name) - share * budget) < 1e-4 * budget
+
+
+def test_new_topics(spark):
+    texts = ["see https://x.y", "int a;\nint b;\n", "- one\n- two", "from 120 to 340 units", "12 plain words"]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)],
+                               "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["topic"] for r in M.mix_report(df).collect()}
+    assert [got[i] for i in range(5)] == ["link", "code", "list", "figures", "prose"]

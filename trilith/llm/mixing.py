@@ -5,14 +5,20 @@ Documents fall into cells of source, language and topic; a cell's tokens are
 its words.  Raking multiplies the cells' token weights so that their sums
 meet the targets of each source, then of each language, then of each topic,
 until all three hold to ``TOLERANCE``.  Targets that contradict each other or
+the empty cells have no exact solution: sweeps then end when Targets that contradict each other or
 the empty cells have no exact solution: sweeps then end when the greatest miss
-falls by less than a thousandth (or after ``ROUNDS``), and the last is taken.  A document of a cell is sampled with probability
-level * weight per token, at most 1; the level is such that the expected
-tokens of the sample are ``RATE`` of all tokens.  So a rare cell of great
-weight per token is kept whole and scales no other cell down; cells below 1
-have the raked proportions among themselves.  With ``rate=None`` the greatest
-weight per token has probability 1 and all cells are raked proportions, but
-one stray document may then set the scale.  The decision compares the probability with a hash of the id: it is repeatable and
+falls by less than a thousandth (or after ``ROUNDS``), and the last is taken.
+
+The sample's expected tokens are ``RATE`` of all tokens.  A cell's raked share
+of them may exceed its tokens: such a cell is kept whole and the others are
+raked again, in sweeps that never raise a cell above its tokens, so they make
+up for what it lacks in its source, language and topic.  They end when a
+sweep changes no probability by more than ``TOLERANCE`` (or after ``SWEEPS``).  A document is sampled with probability expected tokens / tokens
+of its cell.  A rare cell scales no other cell down, and a target that all
+tokens of its source, language or topic cannot meet is missed by what they
+lack.  With ``rate=None`` the greatest weight per token has probability 1 and
+all cells are raked proportions, but one stray document may then set the
+scale.  The decision compares the probability with a hash of the id: it is repeatable and
 does not depend on partitioning.
 
 Default targets temper the observed shares: share^``ALPHA``, normalised.
@@ -37,6 +43,7 @@ from .common import stored, unit_hash
 from .quality import GAP
 
 ALPHA, TOLERANCE, ROUNDS, STALLED = 0.85, 1e-9, 100, 0.999
+SWEEPS = 30  # at most, below full cells
 RATE = 0.5
 DIMENSIONS = ("source", "lang", "topic")
 NONE = "(none)"
@@ -44,7 +51,11 @@ NONE = "(none)"
 TOPICS = (("legal", r"(?i)licen[cs]ed under|all rights reserved|copyright"),
           ("contact", r"[A-Za-z0-9._-]@[A-Za-z0-9-]+\.[a-z]{2,}"),
           ("table", r" \| [^|\n]* \| "),
-          ("noise", r"[#*$%&]{3}|!!"))
+          ("noise", r"[#*$%&]{3}|!!"),
+          ("link", r"https?://|www\."),
+          ("code", r"[;{}]\n|(^|\n) *(def|class|import|function) "),
+          ("list", r"(^|\n)[ \t]*([-*]|[0-9]+[.)]) "),
+          ("figures", r"[0-9]{3}[^0-9\n]+[0-9]{3}"))
 
 
 def topic(text: Column) -> Column:
@@ -106,17 +117,24 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
     return cells
 
 
-def _level(cells: DataFrame, rate: float) -> float:
-    """The level at which min(tokens, level * weight) sums to ``rate`` of all
-    tokens; it rises as cells fill up, and ends when no further one does."""
-    level, whole = 0.0, cells.agg(F.sum("tokens")).first()[0] or 0.0
-    while True:
-        full = F.lit(level) * F.col("weight") >= F.col("tokens")
-        kept, rest = cells.where("tokens > 0 AND weight > 0").agg(
-            F.sum(F.when(full, F.col("tokens")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
-        if not rest or (rate * whole - kept) / rest <= level * (1 + 1e-12):
-            return level
-        level = (rate * whole - kept) / rest
+def expected_tokens(cells: DataFrame, rate: float) -> DataFrame:
+    """Raked ``cells`` with ``expected`` tokens, ``rate`` of all, no cell above
+    its own; where that cuts a cell, the others are raked again."""
+    budget = F.lit(rate * (cells.agg(F.sum("tokens")).first()[0] or 0.0))
+    cells = cells.withColumn("_share", F.col("weight"))
+    cells = stored(cells.withColumn("expected", F.least("tokens", budget * F.col("weight"))), "cells")
+    if not cells.where(F.col("expected") < budget * F.col("weight")).head(1):
+        return cells.drop("_share")
+    for _ in range(SWEEPS):
+        swept = cells.withColumn("_before", F.col("expected"))
+        for dim in DIMENSIONS:
+            swept = _raked(swept.withColumn("weight", F.col("expected")), dim)
+            swept = stored(swept.withColumn("expected", F.least("tokens", budget * F.col("weight"))), "cells")
+        moved = swept.where(F.abs(F.col("expected") - F.col("_before")) > TOLERANCE * F.col("tokens")).head(1)
+        cells = swept.drop("_before")
+        if not moved:
+            break
+    return cells.withColumn("weight", F.col("_share")).drop("_share")
 
 
 def calibrated(marked: DataFrame, targets: dict[str, DataFrame] | None = None, alpha: float = ALPHA,
@@ -126,11 +144,12 @@ def calibrated(marked: DataFrame, targets: dict[str, DataFrame] | None = None, a
     cells = stored(marked.groupBy(*DIMENSIONS).agg(F.sum("_tokens").alias("tokens")), "cells")
     targets = {d: (targets or {}).get(d) or tempered(cells, d, alpha) for d in DIMENSIONS}
     cells = rake(cells, targets)
-    each = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
     if rate is None:
+        each = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
         probability = each / F.lit(cells.agg(F.max(each)).first()[0] or 1.0)
     else:
-        probability = F.least(F.lit(1.0), each * F.lit(_level(cells, rate)))
+        cells = expected_tokens(cells, rate)
+        probability = F.when(F.col("tokens") > 0, F.col("expected") / F.col("tokens")).otherwise(0.0)
     rates = cells.select(*DIMENSIONS, "weight", probability.alias("probability"))
     return marked.join(rates, [*DIMENSIONS]).withColumn("sampled", F.col("_u") < F.col("probability"))
 

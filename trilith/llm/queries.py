@@ -72,14 +72,18 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.format_conversations(rows.unionByName(planted)))
 
 
-# The raking sweeps as a recursive query over the cells.
+# Raking, then raking below each cell's tokens, as recursive queries over the cells.
 MIX_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, coalesce(text, '') AS text,
     CASE WHEN regexp_matches(text, '(?i)licen[cs]ed under|all rights reserved|copyright') THEN 'legal'
          WHEN regexp_matches(text, '[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[a-z]{2,}') THEN 'contact'
          WHEN regexp_matches(text, ' \| [^|\n]* \| ') THEN 'table'
-         WHEN regexp_matches(text, '[#*$%&]{3}|!!') THEN 'noise' ELSE 'prose' END AS topic,
+         WHEN regexp_matches(text, '[#*$%&]{3}|!!') THEN 'noise'
+         WHEN regexp_matches(text, 'https?://|www\.') THEN 'link'
+         WHEN regexp_matches(text, '[;{}]\n|(^|\n) *(def|class|import|function) ') THEN 'code'
+         WHEN regexp_matches(text, '(^|\n)[ \t]*([-*]|[0-9]+[.)]) ') THEN 'list'
+         WHEN regexp_matches(text, '[0-9]{3}[^0-9\n]+[0-9]{3}') THEN 'figures' ELSE 'prose' END AS topic,
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens FROM documents),
 c AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL),
 t1 AS (SELECT source, pow(sum(tokens), 0.85) AS t FROM c GROUP BY 1),
@@ -93,7 +97,16 @@ r AS (
   SELECT i + 1, source, lang, topic, tokens, a, b, e, w * e / sum(w) OVER (PARTITION BY topic) FROM (
     SELECT * REPLACE (w * b / sum(w) OVER (PARTITION BY lang) AS w) FROM (
       SELECT * REPLACE (w * a / sum(w) OVER (PARTITION BY source) AS w) FROM r)) WHERE i < 100),
-f AS (SELECT source, lang, topic, (w / tokens) / max(w / tokens) OVER () AS p FROM r WHERE i = 100)
+s AS (SELECT *, 0.5 * sum(tokens) OVER () AS budget FROM r WHERE i = 100),
+k AS (
+  SELECT 0 AS i, source, lang, topic, tokens, a, b, e, budget, least(tokens, budget * w) AS w FROM s
+  UNION ALL
+  SELECT i + 1, source, lang, topic, tokens, a, b, e, budget,
+      least(tokens, w * budget * e / sum(w) OVER (PARTITION BY topic)) FROM (
+    SELECT * REPLACE (least(tokens, w * budget * b / sum(w) OVER (PARTITION BY lang)) AS w) FROM (
+      SELECT * REPLACE (least(tokens, w * budget * a / sum(w) OVER (PARTITION BY source)) AS w) FROM k))
+  WHERE i < 30),
+f AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN w / tokens ELSE 0 END AS p FROM k WHERE i = 30)
 SELECT doc_id, source, lang, topic, n_tokens, round(p, 6) AS probability,
   CAST(('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), chr(0)) || '|' || md5(text)), 1, 13)) AS BIGINT)
     / 4503599627370496.0 < p AS sampled
@@ -102,8 +115,7 @@ FROM d JOIN f USING (source, lang, topic)"""
 
 @register("op5_mixing", MIX_SQL)
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The SQL divides by the greatest weight per token.
-    return mixing.mix_report(read_table(spark, sf_dir, "documents"), rate=None).drop("weight")
+    return mixing.mix_report(read_table(spark, sf_dir, "documents")).drop("weight")
 
 
 @register("op6_warc", """
