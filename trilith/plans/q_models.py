@@ -77,7 +77,7 @@ def q_clf_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_clf_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, _ = tabular(spark, sf_dir)
     train, _, test = _parts(df)
-    return _predictions(M.clf_boosted(train, rounds=50, depth=6, rate=0.1), test)
+    return _predictions(M.clf_boosted(train, rounds=200, depth=6, rate=0.1), test)
 
 
 @register("clf_rbf_svc")
@@ -175,14 +175,15 @@ def q_grid_search_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.grid_search_ridge(folds, fold_col="fold")
 
 
+def _search_folds(train: DataFrame) -> DataFrame:
+    return materialize(kfold_assign(train, "item_id", "categorie", k=5, seed=42))
+
+
 @register("random_search")
 def q_random_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, _ = tabular(spark, sf_dir)
     train, _, _ = _parts(df)
-    folds = materialize(kfold_assign(train, "item_id", "categorie", k=3, seed=42))
-    space = {"maxDepth": ("int", 2, 5), "maxIter": ("int", 5, 15), "stepSize": ("log", 0.01, 0.3),
-             "subsamplingRate": ("float", 0.6, 1.0), "featureSubsetStrategy": ("choice", ["all", "sqrt"])}
-    return M.random_search(folds, n_trials=3, fold_col="fold", space=space, num_folds=3)
+    return M.random_search(_search_folds(train), n_trials=30, num_folds=5)
 
 
 @register("permutation_importance")
