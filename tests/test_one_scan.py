@@ -126,3 +126,16 @@ def test_predictions_and_one_job(spark, table):
 def test_no_rows(spark):
     df = M.assemble(spark.createDataFrame([(1.0, 2.0)], "label double, a double"), ["a"]).where(F.col("a") > 5)
     assert linear.moments(df) == {}
+
+
+def test_nearest_centres_of_all_starts_in_one_product():
+    draw = np.random.default_rng(3)
+    x = draw.integers(0, 4, (500, 3)).astype(float)  # many ties
+    sets = [draw.integers(0, 4, (k, 3)).astype(float) for k in (2, 5, 3)]
+    sets[1][3] = sets[1][0]
+    found = lloyd._sums(x, np.concatenate(sets), [(0, 2), (2, 7), (7, 10)])
+    want = []
+    for centres in sets:
+        near = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        want += [[(near == c).sum(), *x[near == c].sum(axis=0)] for c in range(len(centres))]
+    assert np.allclose(found, want)
