@@ -45,3 +45,15 @@ def test_pooled_vectors_do_not_depend_on_what_is_broadcast(spark, monkeypatch):
     want = pooled()
     monkeypatch.setattr(T, "HOT_VALUES", 8)  # two words are broadcast
     assert pooled() == want and len(want) == 8
+
+
+def test_text_udf_sees_few_texts_at_once(spark):
+    import pandas as pd
+
+    from trilith.functions.udf import text_udf
+    from trilith.session import ARROW_ROWS
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "10000")
+    size = text_udf(lambda s: pd.Series([len(s)] * len(s)), "int")
+    seen = spark.range(0, 3000, 1, 1).select(size(F.col("id").cast("string")).alias("n")).agg(F.max("n")).first()[0]
+    assert seen <= ARROW_ROWS

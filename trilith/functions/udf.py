@@ -1,7 +1,8 @@
 """The slow path, kept small: vectorised (Arrow) pandas helpers.
 
 ``text_udf`` wraps a pandas Series -> Series function as a pandas UDF for
-per-row text logic that SQL expressions cannot express.  ``group_apply``
+per-row text logic that SQL expressions cannot express; it sees at most
+``ARROW_ROWS`` texts at once.  ``group_apply``
 runs a pandas function per group in two phases -- partial results per
 partition with ``mapInPandas``, merged by a Spark aggregate -- so no group,
 however large, is gathered into one task.
@@ -12,11 +13,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import small_batches
+
 
 def text_udf(fn: Callable[[pd.Series], pd.Series], return_type: str = "string"):
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        small_batches(spark)
+
     @F.pandas_udf(return_type)
     def run(s: pd.Series) -> pd.Series:
         return fn(s)
