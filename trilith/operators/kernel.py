@@ -125,13 +125,17 @@ def minimise(rows: DataFrame, basis: Nystrom, problems: list[Problem], C: float,
 
             def slopes(x, y, fold, now=now, h=h):
                 z = shared.value.features(x)
-                for j, wj in now.items():
-                    use = fold != problems[j].fold if problems[j].fold is not None else np.ones(len(y), dtype=bool)
-                    zj = z[use]
-                    u, du = problems[j].terms(zj @ wj, y[use], epsilon)
+                f = z @ np.column_stack(list(now.values()))
+                for i, j in enumerate(now):
+                    u, du = problems[j].terms(f[:, i], y, epsilon)
                     loss, d1, d2 = _rounded(u, h)
-                    hess = zj.T @ (zj * d2[:, None])
-                    yield j, np.concatenate([[loss.sum(), d1.sum()], zj.T @ (d1 * du), hess[upper]])
+                    if problems[j].fold is not None:
+                        use = fold != problems[j].fold
+                        loss, d1, d2 = loss * use, d1 * use, d2 * use
+                    bent = np.flatnonzero(d2)  # rows off the rounded corner have no curvature
+                    zb = z if len(bent) == len(z) else z[bent]
+                    hess = zb.T @ (zb * d2[bent, None])
+                    yield j, np.concatenate([[loss.sum(), d1.sum()], z.T @ (d1 * du), hess[upper]])
 
             sums = _scan(rows, slopes, {j: 2 + q + len(upper[0]) for j in now})
             steps = {}
@@ -153,10 +157,13 @@ def minimise(rows: DataFrame, basis: Nystrom, problems: list[Problem], C: float,
 
             def values(x, y, fold, steps=steps, now=now, h=h):
                 z = shared.value.features(x)
-                for j, step in steps.items():
-                    use = fold != problems[j].fold if problems[j].fold is not None else np.ones(len(y), dtype=bool)
-                    f, d = z[use] @ now[j], z[use] @ step
-                    yield j, np.array([_rounded(problems[j].terms(f + t * d, y[use], epsilon)[0], h)[0].sum()
+                f, d = z @ np.column_stack([now[j] for j in steps]), z @ np.column_stack(list(steps.values()))
+                for i, j in enumerate(steps):
+                    fj, dj, yj = f[:, i], d[:, i], y
+                    if problems[j].fold is not None:
+                        use = fold != problems[j].fold
+                        fj, dj, yj = fj[use], dj[use], y[use]
+                    yield j, np.array([_rounded(problems[j].terms(fj + t * dj, yj, epsilon)[0], h)[0].sum()
                                        for t in LENGTHS])
 
             tried = _scan(rows, values, {j: len(LENGTHS) for j in steps})
