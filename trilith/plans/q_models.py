@@ -18,7 +18,7 @@ from ..operators.encode import apply_label, apply_ordinal, apply_scaler, fit_cat
 from ..operators.split import kfold_assign, stratified_split
 from ..sources.items import MEASURE_COLUMNS
 from ..sources.tables import read_table
-from ..session import materialize
+from ..session import materialize, stored
 from .common import items_sql, split_cte, split_items
 from .registry import register
 
@@ -106,7 +106,8 @@ def text_tables(spark: SparkSession, sf_dir: str, ngram=(1, 1), min_df=2, max_df
     docs = stratified_split(docs, "doc_id", "lang", seed=42)
     langs = fit_categories(docs.where(F.col("split") == "train"), "lang")
     docs = apply_label(docs, "lang", langs, "label")
-    toks = T.analyzer_tokens(docs, "text", stop)
+    # split and tokens are scanned several times: written once
+    toks = stored(T.analyzer_tokens(docs, "text", stop), "text-tokens")
     toks = toks.withColumn("terms", T.ngrams_col(F.col("tokens"), ngram)) if ngram != (1, 1) else \
         toks.withColumn("terms", F.col("tokens"))
     train = toks.where(F.col("split") == "train")
