@@ -95,3 +95,20 @@ def test_blocks_cross_arrow_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     assert len(packed) == 3 and len({r["no"] for r in packed}) == 3
     assert sum(len(r["x"]) for r in packed) == 4 * 3000
+
+
+def test_importance_does_not_redo_what_led_to_the_rows(spark):
+    df = _table(spark, 400)
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = df.drop("features").mapInArrow(seen, df.drop("features").schema)
+    cols = ["c0", "c1", "c2", "c3"]
+    out = M.permutation_importance(M.clf_forest(df, n_trees=5), rows, "id", cols).collect()
+    assert read.value == 400
+    found = {r["feature"]: r["importance"] for r in out}
+    assert max(found, key=found.get) == "c0" and found["c3"] < 0.05
