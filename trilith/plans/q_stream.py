@@ -11,14 +11,14 @@ from ..operators.encode import fit_categories, fit_scaler
 from ..operators.evaluate import rule_score
 from ..operators.impute import fit_iqr_bounds, fit_median
 from ..operators.score import batch_score, fit_classifier_pipeline, fit_price_pipeline, preprocessing_stage
-from ..session import materialize
+from ..session import stored
 from ..sources import io as IO
 from ..sources.items import MEASURE_COLUMNS, NUMERIC_COLUMNS, item_view
 from ..sources.tables import read_table
 from ..streaming.scoring import prediction_log, prediction_metrics, stream_score
 from ..functions.constants import CATEGORIES
 from ..functions.stats import sql_fround
-from .common import clean_items, items_sql
+from .common import clean_view, items_sql
 from .q_eval import REQ, _argmax_sql, _rule_probs_cte
 from .registry import register
 
@@ -29,9 +29,10 @@ def scoring_models(spark: SparkSession, sf_dir: str):
     """(labelled items with split, classifier pipeline, price pipeline, labels)."""
     from ..operators.encode import apply_label
     from ..operators.split import stratified_split
-    items = stratified_split(clean_items(spark, sf_dir), "item_id", "categorie", seed=42)
+    # Parquet: the fits read few columns of many scans
+    items = stratified_split(stored(clean_view(spark, sf_dir), "items"), "item_id", "categorie", seed=42)
     lab = items.where(F.col("categorie").isNotNull())
-    train = materialize(lab.where(F.col("split") == "train"))
+    train = stored(lab.where(F.col("split") == "train").drop("split"), "train")
     labels = fit_categories(train, "categorie")
     train = apply_label(train, "categorie", labels, "label")
     fill = fit_median(train, NUMERIC_COLUMNS)
