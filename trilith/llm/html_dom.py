@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 NAME_RE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 PLAIN_OR_QUOTED_RE = re.compile(r"[^>\"']++|\"[^\"]*+\"|'[^']*+'")
@@ -74,7 +74,7 @@ class Page:
         self.nodes: list[Node] = []
         self.pieces: list[tuple[Node, str, int]] = []
         self._block, self._open, self._anchors = 0, [], 0
-        self._places: dict[str, list[int]] = defaultdict(list)  # of the open elements, by tag
+        self._places: dict[str, list[int]] = {}  # of the open elements, by tag; no empty lists
         self._stuck = None
         self.root = self._push("#root", "", None)
         self._parse(source)
@@ -91,20 +91,36 @@ class Page:
         return node
 
     def _enter(self, tag, node) -> None:
-        self._places[tag].append(len(self._open))
+        places = self._places.get(tag)
+        if places is None:
+            self._places[tag] = [len(self._open)]
+        else:
+            places.append(len(self._open))
         self._open.append((tag, node))
 
     def _pop_to(self, depth: int) -> None:
         while len(self._open) > depth:
             tag, _ = self._open.pop()
-            self._places[tag].pop()
+            places = self._places[tag]
+            places.pop()
+            if not places:
+                del self._places[tag]
             if tag in BLOCKS:
                 self._block += 1
             if tag == "a":
                 self._anchors -= 1
 
     def _innermost(self, tags) -> int:
-        return max((self._places[t][-1] for t in tags if self._places.get(t)), default=0)
+        at, places = 0, self._places
+        if len(tags) < len(places):
+            for t in tags:
+                if t in places and places[t][-1] > at:
+                    at = places[t][-1]
+        else:
+            for t, found in places.items():
+                if t in tags and found[-1] > at:
+                    at = found[-1]
+        return at
 
     def _close(self, tags, fence=frozenset()) -> None:
         """Close the innermost open element of ``tags``, unless one of
@@ -130,9 +146,11 @@ class Page:
             return
         if tag in BLOCKS:
             self._block += 1
-        found = ATTR_RE.findall(attrs) if "=" in attrs else []
-        value = " ".join(b or c or d for a, b, c, d in found if a != "data-part")
-        part = next((b or c or d for a, b, c, d in found if a == "data-part"), None)
+        value, part = "", None
+        if "=" in attrs:
+            found = ATTR_RE.findall(attrs)
+            value = " ".join(b or c or d for a, b, c, d in found if a != "data-part")
+            part = next((b or c or d for a, b, c, d in found if a == "data-part"), None)
         if tag in BLOCKS or value or part or tag in SILENT:
             self._push(tag, value, part)
         else:  # plain inline elements are no nodes
@@ -147,9 +165,13 @@ class Page:
         if "&" in text:
             text = html.unescape(text)
         self.pieces.append((node, text, self._block))
-        n = len(text) - text.count(" ") if not text.isspace() else 0
-        node.chars += n
-        node.words += text.count(" ") + 1 if n else 0
+        if not text.isspace():
+            spaces = text.count(" ")
+            n = len(text) - spaces
+            node.chars += n
+            node.words += spaces + 1 if n else 0
+        else:
+            n = 0
         node.marks += text.count(".") + text.count(",")
         if self._anchors:
             node.links += n
@@ -166,13 +188,14 @@ class Page:
             start = source.find("<", at)
             if start < 0:
                 return None
-            if source.startswith("<!--", start):
-                close = source.find("-->", start + 4)
-                return start, close + 3 if close >= 0 else len(source), "", "", ""
             name = NAME_RE.match(source, start)
-            if not name and source[start + 1:start + 2] not in ("!", "?", "/"):
-                at = start + 1
-                continue
+            if not name:
+                if source.startswith("<!--", start):
+                    close = source.find("-->", start + 4)
+                    return start, close + 3 if close >= 0 else len(source), "", "", ""
+                if source[start + 1:start + 2] not in ("!", "?", "/"):
+                    at = start + 1
+                    continue
             first = source.find(">", start)
             if first < 0:  # no tag ends any more, and no comment
                 comment = source.find("<!--", start)
