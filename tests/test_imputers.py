@@ -41,3 +41,13 @@ def test_comparison_counts_every_labelled_row(spark):
     out = compare_imputers(df, "categorie", strategies=("median", "iterative"), k=3, n_trees=5).collect()
     assert {r["strategy"] for r in out} == {"median", "iterative"}
     assert all(0.8 < r["accuracy_mean"] <= 1 and 0 <= r["accuracy_std"] < 0.1 for r in out)
+
+
+def test_comparison_leaves_no_folds_or_forest_rows(spark):
+    from trilith.sources.items import NUMERIC_COLUMNS
+    df = _holes(spark).withColumn("categorie", F.when(F.col("item_id") % 2 == 0, "x").otherwise("y"))
+    df = df.select("item_id", "categorie", *[F.col("abc"[i % 3]).alias(c) for i, c in enumerate(NUMERIC_COLUMNS)])
+    base = ensure_checkpoint_dir(spark).removeprefix("file:") + "/tables"
+    before = set(os.listdir(base)) if os.path.isdir(base) else set()
+    compare_imputers(df, "categorie", strategies=("median",), k=2, n_trees=2).collect()
+    assert not [n for n in set(os.listdir(base)) - before if n.startswith(("imputed", "folds", "compare", "forest"))]
